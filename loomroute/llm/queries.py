@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, positional_index
+from . import byte_bpe, line_dedup, positional_index, simhash_bktree, sstable
 
 OPERATORS = {
+    "op2_simhash_bktree": simhash_bktree,
+    "op6_sstable": sstable,
     "op8_line_dedup": line_dedup,
     "op9_positional_index": positional_index,
+    "op10_byte_bpe": byte_bpe,
 }
 
 
