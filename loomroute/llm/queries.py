@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, line_dedup, positional_index, ppm_language, simhash_bktree, sstable, url_rules
+from . import byte_bpe, chat_format, imatch, line_dedup, positional_index, ppm_language, simhash_bktree, sstable, url_rules
 
 OPERATORS = {
     "op1_chat_format": chat_format,
     "op2_simhash_bktree": simhash_bktree,
+    "op3_imatch": imatch,
     "op4_url_rules": url_rules,
     "op5_ppm_language": ppm_language,
     "op6_sstable": sstable,
