@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, imatch, line_dedup, positional_index, ppm_language, simhash_bktree, sstable, url_rules
+from . import byte_bpe, chat_format, html_lstm, imatch, line_dedup, positional_index, ppm_language, simhash_bktree, sstable, url_rules
 
 OPERATORS = {
     "op1_chat_format": chat_format,
@@ -11,6 +11,7 @@ OPERATORS = {
     "op4_url_rules": url_rules,
     "op5_ppm_language": ppm_language,
     "op6_sstable": sstable,
+    "op7_html_lstm": html_lstm,
     "op8_line_dedup": line_dedup,
     "op9_positional_index": positional_index,
     "op10_byte_bpe": byte_bpe,
