@@ -30,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ORDER = 3
 PER_LANGUAGE = 400
@@ -211,13 +212,13 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, lang_pred, score) from the text alone."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def annotate(docs: DataFrame, model: Model | None, guess: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The rows with their predicted language and its score, from the text alone."""
     if model is None:
-        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.withColumn(guess, F.lit(UNKNOWN)).withColumn(score, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = np.array([*model.languages, UNKNOWN], dtype=object)
+    columns = docs.columns
 
     def run(batches):
         own = shared.value
@@ -228,12 +229,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             best = bits.argmin(axis=1) if len(texts) else np.empty(0, int)
             more = bits - bits.min(axis=1, keepdims=True)
             share = 1 / np.exp2(-np.minimum(more, 1000)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names[np.where(letters, best, len(names) - 1)], pa.string()), pa.array(np.where(letters, share, 0.0))],
-                names=["doc_id", "lang_pred", "score"],
-            )
+            found = [pa.array(names[np.where(letters, best, len(names) - 1)], pa.string()), pa.array(np.where(letters, share, 0.0))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*columns, guess, score])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(guess, T.StringType()), T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, lang_pred, score) of each row."""
+    return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
 
 
 def fit(docs: DataFrame, **bounds) -> Model | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import byte_bpe, chat_format, html_lstm, imatch, line_dedup, positional_index, ppm_language, simhash_bktree, sstable, url_rules
 
 OPERATORS = {
@@ -19,7 +21,7 @@ OPERATORS = {
 
 
 def queries() -> dict:
-    return {name: module.query for name, module in OPERATORS.items()}
+    return {name: module.query for name, module in OPERATORS.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
