@@ -24,13 +24,20 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _filled() -> None:
+    from loomroute.plans import registry  # noqa: F401  the modules there register themselves
+
+
 def queries() -> dict:
+    _filled()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _filled()
     return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["consensus_ranking"](spark, sf_dir)
+    _filled()
+    return QUERIES["main_table_by_arm"](spark, sf_dir)
