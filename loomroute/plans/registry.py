@@ -1,3 +1,3 @@
 """Imports every query module, so that the catalog is filled."""
 
-from . import q_consensus, q_evaluation  # noqa: F401
+from . import q_consensus, q_evaluation, q_routes  # noqa: F401
