@@ -90,12 +90,12 @@ def mass_guard(spark, sf):
 
 
 _VOTED = f"""WITH {CANDIDATES}, {BEST.format(where='')}, {AGG},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY score DESC, best_rank, key) AS place, (product + key) % 3 = 0 AS matched FROM agg)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY score DESC, best_rank, key) AS place, votes > 1 AS matched FROM agg)
 """
 
 
 def _voted(spark, sf):
-    return consensus.rank(candidates(spark, sf), "vote", 1_000_000).withColumn("matched", (F.col("product") + F.col("key")) % 3 == 0)
+    return consensus.rank(candidates(spark, sf), "vote", 1_000_000).withColumn("matched", F.col("votes") > 1)
 
 
 @query("soft_roundtrip", _VOTED + "SELECT product, key, place, matched, row_number() OVER (PARTITION BY product ORDER BY matched DESC, place) AS place_after FROM ranked")

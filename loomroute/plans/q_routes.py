@@ -145,15 +145,15 @@ def route_axes_nulls(spark, sf):
     "step_tags",
     sql(
         STEPS,
-        "cache AS (SELECT DISTINCT product, reactant, true AS present, CASE WHEN (product + reactant) % 3 = 0 THEN NULL ELSE (product + reactant) % 7 END AS rank FROM steps WHERE (product * 7 + reactant) % 5 <> 0)",
+        "cache AS (SELECT product, reactant, true AS present, CASE WHEN min(rt) <= 5 THEN min(rt) END AS rank FROM steps WHERE model <> 'N' GROUP BY product, reactant)",
         "SELECT s.route, s.pos, s.product, s.reactant, coalesce(present, false) AS asked, rank, CASE WHEN present IS NULL THEN 'rt?' WHEN rank IS NULL THEN 'rt-' ELSE 'rt' || rank END AS shown FROM steps s LEFT JOIN cache c ON s.product = c.product AND s.reactant = c.reactant",
     ),
 )
 def step_tags(spark, sf):
     """Steps with cached values; never asked, asked without success and a value stay apart."""
     s = steps(spark, sf)
-    both = F.col("product") + F.col("reactant")
-    cache = s.select("product", "reactant").distinct().where((F.col("product") * 7 + F.col("reactant")) % 5 != 0).select("product", "reactant", F.lit(True).alias("present"), F.when(both % 3 != 0, both % 7).alias("rank"))
+    least = F.min("rt")
+    cache = s.where("model <> 'N'").groupBy("product", "reactant").agg(F.lit(True).alias("present"), F.when(least <= 5, least).alias("rank"))
     out = s.join(cache, ["product", "reactant"], "left").withColumn("asked", F.coalesce("present", F.lit(False)))
     return out.select("route", "pos", "product", "reactant", "asked", "rank", keys.recovered("rank", F.col("asked")).alias("shown"))
 
@@ -305,11 +305,11 @@ def representative_score(spark, sf):
 
 @query(
     "menu_topk_after_filter",
-    sql(STEPS, "f AS (SELECT product, reactant, max(p) AS q FROM steps WHERE reactant % 3 <> 0 GROUP BY product, reactant)", "r AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY q DESC, reactant) AS place FROM f)", "SELECT product, reactant, q, place FROM r WHERE place <= 3"),
+    sql(STEPS, "f AS (SELECT product, reactant, max(p) AS q FROM steps WHERE p >= 0.05 GROUP BY product, reactant)", "r AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY q DESC, reactant) AS place FROM f)", "SELECT product, reactant, q, place FROM r WHERE place <= 3"),
 )
 def menu_topk_after_filter(spark, sf):
     """The board-dependent filter comes first, then the cut to the top k."""
-    f = steps(spark, sf).where("reactant % 3 <> 0").groupBy("product", "reactant").agg(F.max("p").alias("q"))
+    f = steps(spark, sf).where("p >= 0.05").groupBy("product", "reactant").agg(F.max("p").alias("q"))
     w = Window.partitionBy("product").orderBy(F.col("q").desc(), "reactant")
     return f.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select("product", "reactant", "q", "place")
 
