@@ -1,3 +1,3 @@
 """Imports every query module, so that the catalog is filled."""
 
-from . import q_consensus, q_diversity, q_evaluation, q_graph, q_routes  # noqa: F401
+from . import q_consensus, q_corpus, q_diversity, q_evaluation, q_graph, q_routes, q_scoring, q_text  # noqa: F401
