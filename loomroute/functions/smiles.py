@@ -12,6 +12,7 @@ import importlib.util
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 has_library = importlib.util.find_spec("rdkit") is not None
 
@@ -79,7 +80,7 @@ def major_component(smiles: Column) -> Column:
     return F.array_max(sized)["smiles"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical(smiles: pd.Series) -> pd.Series:
     """Canonical form or null; without a library the trimmed string stands for it."""
     if not has_library:

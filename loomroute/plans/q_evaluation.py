@@ -53,7 +53,7 @@ def summary(reps: DataFrame, group: list[str], n_targets, impute) -> DataFrame:
         F.round(F.sum("p_share") / denominator, 4).alias("plausible"),
         F.round(F.sum("rt5_miss") / denominator, 4).alias("recovered"),
         F.round(F.exp((logs + missing) / denominator), 2).alias("price"),
-        F.round(F.median("cost"), 2).alias("median_price"),
+        (F.median(F.round(F.col("cost") * 100).cast("long")) / 100).alias("median_price"),
     )
 
 
@@ -82,9 +82,9 @@ def _reps(group: str, source: str) -> tuple[str, ...]:
 
 _IMPUTED = f"""count(*) AS solved, round(100.0 * count(*) / n, 4) AS success, round(sum(n_routes) / CAST(n AS DOUBLE), 4) AS routes,
  round(sum(p_share) / n, 4) AS plausible, round(sum(rt5) / n, 4) AS recovered,
- round(exp((sum(ln(greatest(least(cost, {PRICE_CAP}), 1e-9))) + (n - count(cost)) * ln({PRICE_CAP})) / n), 2) AS price, round(median(cost), 2) AS median_price"""
+ round(exp((sum(ln(greatest(least(cost, {PRICE_CAP}), 1e-9))) + (n - count(cost)) * ln({PRICE_CAP})) / n), 2) AS price, median(CAST(round(cost * 100) AS BIGINT)) / 100 AS median_price"""
 _PLAIN = """count(*) AS solved, round(100.0 * count(*) / n, 4) AS success, round(sum(n_routes) / CAST(count(*) AS DOUBLE), 4) AS routes,
- round(sum(p_share) / count(*), 4) AS plausible, round(sum(rt5) / count(*), 4) AS recovered, round(exp(sum(ln(cost)) / count(*)), 2) AS price, round(median(cost), 2) AS median_price"""
+ round(sum(p_share) / count(*), 4) AS plausible, round(sum(rt5) / count(*), 4) AS recovered, round(exp(sum(ln(cost)) / count(*)), 2) AS price, median(CAST(round(cost * 100) AS BIGINT)) / 100 AS median_price"""
 
 
 @query(
