@@ -153,9 +153,10 @@ def _join(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
 
 def _stars(batches, radius: int):
     """Links of one task's shards: (fp, center), one row for each member that is not its group's center."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    held = list(batches)
+    if not sum(b.num_rows for b in held):  # a task without shards
         return
+    table = pa.Table.from_batches(held)
     group = np.unique(np.stack([table.column(c).to_numpy() for c in ("mask", "shard", "lo", "hi")], axis=1), axis=0, return_inverse=True)[1].ravel()
     fp = table.column("fp").to_numpy().view(np.uint64)
     lo, hi, own = (table.column(c).to_numpy() for c in ("lo", "hi", "own"))
