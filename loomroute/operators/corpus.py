@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,26 +31,31 @@ def pack(df: DataFrame, stream: str, order: str, length: str, room: int) -> Data
     """(stream, order, pack, offset): samples in order fill packs of ``room``; the next pack begins when one does not fit.
 
     Samples longer than a pack are dropped whole (pack -1). Each place depends on the ones before it in the same
-    stream, so a stream is walked in order, a batch of rows at a time with the state carried over.
+    stream (a data-parallel rank), so a stream is one sorted run; it is walked batch by batch, and only the open
+    pack is kept in memory.
     """
 
-    def run(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values(order)
-        pack_no, used, packs, offsets = 0, 0, [], []
-        for n in pool[length]:
-            if n > room:
-                packs.append(-1)
-                offsets.append(0)
-                continue
-            if used + n > room:
-                pack_no, used = pack_no + 1, 0
-            packs.append(pack_no)
-            offsets.append(used)
-            used += n
-        return pd.DataFrame({stream: pool[stream], order: pool[order], length: pool[length], "pack": packs, "offset": offsets})
+    def run(batches):
+        now, pack_no, used = None, 0, 0
+        for rows in batches:
+            packs, offsets = [], []
+            for own, n in zip(rows[stream], rows[length]):
+                if own != now:
+                    now, pack_no, used = own, 0, 0
+                if n > room:
+                    packs.append(-1)
+                    offsets.append(0)
+                    continue
+                if used + n > room:
+                    pack_no, used = pack_no + 1, 0
+                packs.append(pack_no)
+                offsets.append(used)
+                used += n
+            yield rows.assign(pack=packs, offset=offsets)
 
     k = dict(df.dtypes)
-    return df.select(stream, order, length).groupBy(stream).applyInPandas(run, f"`{stream}` {k[stream]}, `{order}` {k[order]}, `{length}` {k[length]}, pack long, offset long")
+    runs = df.select(stream, order, length).where(F.col(stream).isNotNull()).repartition(stream).sortWithinPartitions(stream, order)
+    return runs.mapInPandas(run, f"`{stream}` {k[stream]}, `{order}` {k[order]}, `{length}` {k[length]}, pack long, offset long")
 
 
 def packing_stats(packed: DataFrame, length: str, room: int) -> DataFrame:

@@ -108,17 +108,23 @@ def stratified_probe(spark, sf):
     return corpus.stratified(depth, "depth", "route", 5, seed=7).select("depth", "route", "place")
 
 
+#: Data-parallel ranks that read the corpus.
+RANKS = 16
+
+
+def _streams(spark, sf):
+    return table(spark, sf, "documents").select(F.pmod("doc_id", F.lit(RANKS)).alias("stream"), "doc_id", "n_chars")
+
+
 @query("pack_sequences")
 def pack_sequences(spark, sf):
-    """Documents of a source packed in order; checked against a plain loop in the tests."""
-    d = table(spark, sf, "documents").select(F.col("source").alias("stream"), "doc_id", "n_chars")
-    return corpus.pack(d, "stream", "doc_id", "n_chars", 16_384).select("stream", "doc_id", "pack", "offset")
+    """Documents of each rank packed in order; checked against a plain loop in the tests."""
+    return corpus.pack(_streams(spark, sf), "stream", "doc_id", "n_chars", 16_384).select("stream", "doc_id", "pack", "offset")
 
 
 @query("packing_stats")
 def packing_stats(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("stream"), "doc_id", "n_chars")
-    return corpus.packing_stats(corpus.pack(d, "stream", "doc_id", "n_chars", 16_384), "n_chars", 16_384)
+    return corpus.packing_stats(corpus.pack(_streams(spark, sf), "stream", "doc_id", "n_chars", 16_384), "n_chars", 16_384)
 
 
 _TOK = "tok AS (SELECT conv_id, turn, role, generate_subscripts(string_split(text, ' '), 1) AS i, unnest(string_split(text, ' ')) AS w FROM conversations WHERE text IS NOT NULL), t AS (SELECT conv_id, turn, role, length(w) / 10.0 AS nll, length(w) < 9 AS correct, w <> '' AS valid FROM tok)"

@@ -22,15 +22,24 @@ def assign(times: list[float], size: int, seconds: float, number: int = -1, firs
 
 
 def batches(requests: DataFrame, queue: str, at: str, order: str, size: int = 16, seconds: float = 1.0) -> DataFrame:
-    """(queue, order, batch) of a table; a queue is walked in order of time."""
-
-    def run(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values(["_t", order])
-        return pd.DataFrame({queue: pool[queue], order: pool[order], "batch": assign(pool["_t"].tolist(), size, seconds)[0]})
+    """(queue, order, batch) of a table; a queue is one run in order of time, walked piece by piece with the open batch kept."""
+
+    def run(pieces):
+        now, state = None, (-1, 0.0, 0)
+        for rows in pieces:
+            found = []
+            for own, times in rows.groupby((rows[queue] != rows[queue].shift()).cumsum())["_t"]:
+                name = rows.at[times.index[0], queue]
+                state = state if name == now else (-1, 0.0, 0)
+                now = name
+                numbers, *state = assign(times.tolist(), size, seconds, *state)
+                found += numbers
+            yield rows[[queue, order]].assign(batch=found)
 
     kinds = dict(requests.dtypes)
-    timed = requests.select(queue, order, F.unix_micros(F.col(at).cast("timestamp")).cast("double").alias("_us")).select(queue, order, (F.col("_us") / 1e6).alias("_t"))
-    return timed.groupBy(queue).applyInPandas(run, f"`{queue}` {kinds[queue]}, `{order}` {kinds[order]}, batch long")
+    seconds_of = (F.unix_micros(F.col(at).cast("timestamp")).cast("double") / 1e6).alias("_t")
+    runs = requests.where(F.col(queue).isNotNull()).select(queue, order, seconds_of).repartition(queue).sortWithinPartitions(queue, "_t", order)
+    return runs.mapInPandas(run, f"`{queue}` {kinds[queue]}, `{order}` {kinds[order]}, batch long")
 
 
 def stream_batches(requests: DataFrame, queue: str, order: str, size: int = 16, seconds: float = 1.0) -> DataFrame:
