@@ -11,32 +11,55 @@ from loomroute.operators import pareto, routes
 from .roles import CUT, MOLECULES, PRICE_CAP, RANK_CUT, STEPS, molecules, sql, steps, table
 
 ROUTE_CAP = 200
-AXES = {"p_share": "max", "rt5_miss": "max", "cost": "min"}
 
 
-def stamped(steps_: DataFrame) -> DataFrame:
-    """(target, arm, route, stamp): the budget at which a route is found is its place among the arm's routes of the target."""
-    own = steps_.groupBy("target", "arm", "route").agg(F.min("made").alias("made"))
-    return own.withColumn("stamp", F.row_number().over(Window.partitionBy("target", "arm").orderBy("made", "route")).cast("long"))
+def route_table(spark: SparkSession, sf: str) -> DataFrame:
+    """One row a route: target, arm, made, gold, axes, leaf key and whether all of its products are in stock.
+
+    Stock is joined to the steps first, so the join on the order and the grouping by route share one exchange.
+    """
+    s = steps(spark, sf)
+    held = molecules(spark, sf).where("in_stock").select(F.col("molecule").alias("product"), F.lit(1).alias("held"))
+    tagged = s.join(held, "product", "left")
+    share = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
+    return tagged.groupBy("route").agg(
+        F.min("target").alias("target"),
+        F.min("arm").alias("arm"),
+        F.min("made").alias("made"),
+        F.max("gold").alias("gold"),
+        share(F.col("p") >= CUT).alias("p_share"),
+        share(F.col("rt") <= RANK_CUT).alias("rt5_miss"),
+        F.sum("price").alias("cost"),
+        F.array_join(F.array_sort(F.collect_set(F.col("product").cast("string"))), ".").alias("leaf_key"),
+        (F.count("held") == F.count(F.lit(1))).alias("solved"),
+    )
 
 
 def pools(spark: SparkSession, sf: str) -> DataFrame:
-    """Solved routes with stamps and axes; budget and dedup are applied by the caller."""
-    s = steps(spark, sf)
-    ok = routes.solved(s, molecules(spark, sf).where("in_stock").select("molecule"))
-    axes = routes.axes(s, CUT, RANK_CUT).select("route", "p_share", "rt5_miss", "cost")
-    leaf = s.groupBy("route").agg(F.array_join(F.array_sort(F.collect_set(F.col("product").cast("string"))), ".").alias("leaf_key"), F.max("gold").alias("gold"))
-    return stamped(s).join(ok, "route", "left_semi").join(axes, "route").join(leaf, "route")
+    """Solved routes with stamps: the budget at which a route is found is its place among the arm's routes of the target.
+
+    Everything after the stamp is grouped by target and arm at least, so the window's exchange is the last big one.
+    """
+    w = Window.partitionBy("target", "arm").orderBy("made", "route")
+    return route_table(spark, sf).withColumn("stamp", F.row_number().over(w).cast("long")).where("solved")
+
+
+def scored(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round(routes.composite("p_share", "rt5_miss", F.col("cost"), PRICE_CAP), 9))
 
 
 def representatives(pool: DataFrame, group: list[str]) -> DataFrame:
-    """The best route of each group: leaf sets once, at most ROUTE_CAP routes, front, highest composite, earliest on ties."""
-    first = routes.keep_first(pool, group, "leaf_key", [F.col("stamp"), F.col("route")])
-    capped = first.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy("stamp", "route"))).where(F.col("_k") <= ROUTE_CAP).drop("_k")
-    sized = capped.groupBy(*group).agg(F.count(F.lit(1)).alias("n_routes"))
-    best = pareto.front(capped, group, AXES, "worst").withColumn("score", F.round(routes.composite("p_share", "rt5_miss", F.col("cost"), PRICE_CAP), 9))
-    pick = F.max_by(F.struct("route", "p_share", "rt5_miss", "cost", "score"), F.struct(F.col("score"), -F.col("stamp"))).alias("r")
-    return best.groupBy(*group).agg(pick).join(sized, group).select(*group, "n_routes", "r.*")
+    """The best route of each group: leaf sets once, at most ROUTE_CAP routes, front, highest composite, earliest on ties.
+
+    The cap bounds a group's array, in which the front is found without a self-join.
+    """
+    row = F.struct("stamp", "route", "p_share", "rt5_miss", "cost", "score")
+    once = scored(pool).groupBy(*group, "leaf_key").agg(F.min(row).alias("r"))
+    pooled = once.groupBy(*group).agg(F.slice(F.array_sort(F.collect_list("r")), 1, ROUTE_CAP).alias("pool"))
+    axes = lambda x: {"p": x["p_share"], "rt": x["rt5_miss"], "c": -x["cost"]}
+    front = F.filter("pool", lambda a: ~F.exists("pool", lambda b: pareto.dominates(axes(b), axes(a), "worst")))
+    best = F.array_max(F.transform(front, lambda x: F.struct(x["score"], -x["stamp"], x.alias("r"))))["r"]
+    return pooled.select(*group, F.size("pool").cast("long").alias("n_routes"), best.alias("r")).select(*group, "n_routes", "r.route", "r.p_share", "r.rt5_miss", "r.cost", "r.score")
 
 
 def summary(reps: DataFrame, group: list[str], n_targets, impute) -> DataFrame:
@@ -129,9 +152,7 @@ def main_table_grid(spark, sf):
 )
 def better_than_ref(spark, sf):
     """Share of the targets with a reference route whose representative scores strictly higher than the best reference."""
-    s = steps(spark, sf)
-    gold = routes.axes(s.where("gold"), CUT, RANK_CUT).withColumn("score", F.round(routes.composite("p_share", "rt5_miss", F.col("cost"), PRICE_CAP), 9))
-    gold = gold.join(s.select("route", "target").distinct(), "route").groupBy("target").agg(F.max("score").alias("gold_score"))
+    gold = scored(route_table(spark, sf).where("gold")).groupBy("target").agg(F.max("score").alias("gold_score"))
     n = F.lit(gold.count()).cast("long")
     reps = representatives(pools(spark, sf), ["target", "arm"]).join(gold, "target")
     beaten = F.count_if(F.col("score") > F.col("gold_score"))
