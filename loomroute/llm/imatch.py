@@ -52,17 +52,34 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     for i, density in enumerate(DENSITIES):
         inside = F.xxhash64(F.lit(i), "term").bitwiseAND(F.lit((1 << density) - 1)) == 0
         bits = bits + F.when(inside, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    return band.select("term", bits.alias("subsets"))
+    return band.select("term", bits.alias("subsets")).where("subsets <> 0")
 
 
-def _subset_hashes(terms: Column) -> Column:
-    """One hash per subset over the sorted terms in it; zero if there is none."""
-    out = []
-    for i in range(len(DENSITIES)):
-        bit = F.lit(1 << i).cast("long")
-        chosen = F.filter(terms, lambda t: t["subsets"].bitwiseAND(bit) != 0)
-        out.append(F.when(F.size(chosen) > 0, F.xxhash64(F.transform(chosen, lambda t: t["term"]))).otherwise(F.lit(0).cast("long")))
-    return F.array(*out)
+def _with_hashes(df: DataFrame, sides: list[str]) -> DataFrame:
+    """Each side's sorted (term, subsets) entries replaced by one hash per subset; zero where none of them is in it.
+
+    Sparser subsets look at fewer terms: from each density on, only the entries of some sparser subset go on, in
+    a projection of its own, so that no filter is evaluated twice.
+    """
+    keep = [c for c in df.columns if c not in sides]
+    hashes: dict[str, list[str]] = {side: [] for side in sides}
+    for density in sorted(set(DENSITIES)):
+        own = [i for i, d in enumerate(DENSITIES) if d == density]
+        rest = sum(1 << i for i, d in enumerate(DENSITIES) if d > density)
+        columns = []
+        for side in sides:
+            for i in own:
+                bit = F.lit(1 << i).cast("long")
+                chosen = F.filter(side, lambda t: t["subsets"].bitwiseAND(bit) != 0)
+                columns.append(F.xxhash64(F.transform(chosen, lambda t: t["term"])).alias(f"_{side}{i}"))
+            bits = F.lit(rest).cast("long")
+            columns.append(F.filter(side, lambda t: t["subsets"].bitwiseAND(bits) != 0).alias(side))
+        df = df.select(*keep, *[h for side in sides for h in hashes[side]], *columns)
+        for side in sides:
+            hashes[side] += [f"_{side}{i}" for i in own]
+    # The hash of no term at all is the seed.
+    arrays = [F.transform(F.array(*hashes[side]), lambda h: F.when(h == F.xxhash64(F.array().cast("array<long>")), F.lit(0).cast("long")).otherwise(h)).alias(side) for side in sides]
+    return df.select(*keep, *arrays)
 
 
 def written(hashes: Column) -> Column:
@@ -95,7 +112,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     width = ranges or shuffle_width(spark)
     n = 4 * width  # several parts a task even out the hash
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)}, reverse=True)
+    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [i / n for i in range(1, n)], max(0.2 / n, 5e-6))}, reverse=True)
     placed = docs.withColumn("part", _part(F.col("doc_id"), cuts))
     heads = [tuple(r) for r in placed.groupBy("part").agg(F.max("doc_id")).orderBy("part").collect()]
     # A part's first document follows the part before it, and the first of all follows the last part.
@@ -125,7 +142,7 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, ranges:
     gathered = kept.groupBy("part", "place").agg(
         F.max("info").alias("info"), F.array_sort(F.collect_set(F.when(F.col("side") == 0, entry))).alias("own"), F.array_sort(F.collect_set(F.when(F.col("side") == 1, entry))).alias("edited")
     )
-    hashed = gathered.select("part", "place", "info", _subset_hashes(F.col("own")).alias("own"), _subset_hashes(F.col("edited")).alias("edited"))
+    hashed = _with_hashes(gathered, ["own", "edited"])
     hashed = hashed.withColumn("next", F.lead("own").over(Window.partitionBy("part").orderBy("place")))
     return hashed.where(~F.col("info.is_copy")).select("info.doc_id", "info.n_chars", "info.edited_sha256", "own", "edited", "next")
 
