@@ -7,7 +7,7 @@ text, place in the page). A bidirectional LSTM in numpy reads the whole page's s
 labels every block content or not, so a block is judged with the document around it.
 
 Training is weakly supervised on a bounded sample of ``pages`` whole pages (those with the smallest hash of
-page_id and url): the labels come from the meaning of tag and class names, and copies of the sample pages are
+page_id, url and html): the labels come from the meaning of tag and class names, and copies of the sample pages are
 varied (containers renamed or dropped, foreign boilerplate put in) so that the labeller also knows kinds of
 blocks that the sample lacks. The sample is all that reaches the driver; weights of fixed size are broadcast.
 
@@ -38,7 +38,7 @@ LEARNING_RATE = 0.01
 WINDOW = 64
 
 # Tags of HTML by their meaning, and names that sites give to kinds of blocks.
-SKIPPED = frozenset("script style noscript template svg iframe textarea select option button head object canvas".split())
+SKIPPED = frozenset("script style noscript template svg iframe textarea select option button head title object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split()
@@ -358,9 +358,11 @@ def extract(pages: DataFrame, weights: dict | None) -> DataFrame:
 
 
 def sample(pages: DataFrame, n: int = PAGES) -> list[str]:
-    """The training pages: a bounded top-n by hash."""
-    rows = pages.where(F.length("html") > 0).orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(n).select("html").collect()
-    return [r["html"] for r in rows]
+    """The training pages: the n smallest hashes first, then the html of these alone."""
+    rows = pages.where(F.length("html") > 0).select(F.xxhash64("page_id", "url", "html").alias("h"), "html")
+    chosen = rows.select("h").orderBy("h").limit(n).distinct()
+    found = rows.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy("h").collect()  # n pages at most
+    return [r["html"] for r in found]
 
 
 def query(spark, sf_dir: str) -> DataFrame:
