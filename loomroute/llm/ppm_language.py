@@ -40,6 +40,8 @@ MAX_CONTEXTS = 40_000
 UNKNOWN = "und"
 #: Bytes scored together.
 PIECE = 1 << 20
+#: Steps of a hash's upper 20 bits.
+_GRAIN = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -195,12 +197,15 @@ def _sum(model: Model, codes: np.ndarray, lengths: list[int], out: np.ndarray) -
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> dict[str, list[bytes]]:
     """The training sample of (doc_id, text, lang), the same at every run.
 
-    Ranks are taken over hashes alone, with a group limit before the shuffle; texts are fetched for the chosen ones only.
+    Hashes are uniform, so rows of a language whose hash lies within twice the wanted share of its rows hold the
+    smallest ones; only these are ranked, over hashes alone, and texts are fetched for the chosen ones.
     """
-    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= longest))
-    usable = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = usable.select("lang", "h").withColumn("k", rank).where(F.col("k") <= per_language).groupBy("lang", "h").agg(F.min("k").alias("k"))
+    labelled = docs.where(F.col("lang").isNotNull())
+    share = labelled.groupBy("lang").agg(F.ceil(F.lit(2.0 * per_language * _GRAIN) / F.count(F.lit(1))).alias("share"))
+    usable = labelled.where((F.length("text") > 0) & (F.length("text") <= longest)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    near = usable.join(F.broadcast(share), "lang").where(F.shiftrightunsigned("h", 44) < F.col("share")).select("lang", "h")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1)))
+    chosen = near.withColumn("k", rank).where(F.col("k") <= per_language).groupBy("lang", "h").agg(F.min("k").alias("k"))
     rows = usable.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])  # at most per_language rows a language
     out: dict[str, list[bytes]] = {}
     for row in rows.select("lang", "text", "k").orderBy("lang", "k").collect():
