@@ -23,12 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomroute.plans.workspace import checked_broadcast, save
+from loomroute.plans.workspace import checked_broadcast, save, shuffle_width
 
 from .text import ascii_lower
 
-#: Distinct url keys of one host that a task sweeps.
-SALT_ROWS = 200_000
+#: Fewest distinct url keys of one host that are worth a salt of their own.
+SALT_ROWS = 1000
 DEFAULT = "allow"
 
 
@@ -64,7 +64,7 @@ def _events(rules: DataFrame) -> DataFrame:
     return begins.unionByName(ends)
 
 
-def judge(urls: DataFrame, rules: DataFrame, default: str = DEFAULT, salt_rows: int = SALT_ROWS) -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
     """(host, path, rule_host, rule_path, verdict) of the distinct (host, path) in ``urls``; no row for urls that no rule fits."""
     clean = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).groupBy(ascii_lower(F.col("host")).alias("host"), "path").agg(F.max("verdict").alias("verdict"))
     clean = save(clean.withColumn("at", reversed_host(F.col("host"))), "rules")
@@ -72,7 +72,9 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = DEFAULT, salt_rows:
     n_hosts = hosts.count()
     asked = urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).select("host", "path", F.explode(_ancestors(F.col("host"))).alias("at"))
     asked = save(asked.join(checked_broadcast(hosts, n_hosts), "at"), "asked")
-    salts = asked.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("salts"))
+    # A quarter of an even share for each salt, so that the hosts' salts spread over all tasks.
+    size = max(salt_rows, asked.count() // (4 * shuffle_width(asked.sparkSession)))
+    salts = asked.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("salts"))
     events = _events(clean).join(salts, "at").select("at", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "key", "side", "top", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"))
     dealt = asked.join(checked_broadcast(salts, n_hosts), "at").select(
         "at", F.pmod(F.xxhash64("host", "path"), F.col("salts")).cast("int").alias("salt"), F.col("path").cast("binary").alias("key"), F.lit(1).alias("side"), F.lit(None).cast(events.schema["top"].dataType).alias("top"), "host", "path"
@@ -88,7 +90,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, salt
     """(page_id, host, path, rule, verdict) for each row of (page_id, url)."""
     host, path = host_and_path(F.col("url"))
     parsed = save(pages.select("page_id", host.alias("host"), path.alias("path")), "urls")
-    judged = judge(parsed, rules, default, salt_rows)
+    judged = judge(parsed, rules, salt_rows)
     out = parsed.join(judged, ["host", "path"], "left")
     return out.select("page_id", "host", "path", F.concat("rule_host", "rule_path").alias("rule"), F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
