@@ -9,7 +9,7 @@ labels every block content or not, so a block is judged with the document around
 Training is weakly supervised on a bounded sample of ``pages`` whole pages (those with the smallest hash of
 page_id, url and html): the labels come from the meaning of tag and class names, and copies of the sample pages are
 varied (containers renamed or dropped, foreign boilerplate put in) so that the labeller also knows kinds of
-blocks that the sample lacks. The sample is all that reaches the driver; weights of fixed size are broadcast.
+blocks that the sample lacks. One task trains; only the weights, of fixed size, reach the driver and are broadcast.
 
 Defined cases: null or empty html gives empty text; broken markup is read as far as it goes, with the implied
 ends of paragraphs, list items and cells; scripts, styles, forms' fields and the head are never blocks; pages of
@@ -357,15 +357,29 @@ def extract(pages: DataFrame, weights: dict | None) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string")
 
 
-def sample(pages: DataFrame, n: int = PAGES) -> list[str]:
-    """The training pages: the n smallest hashes first, then the html of these alone."""
+def sample(pages: DataFrame, n: int = PAGES) -> DataFrame:
+    """(h, html) of the training pages: the n smallest hashes first, then the html of these alone."""
     rows = pages.where(F.length("html") > 0).select(F.xxhash64("page_id", "url", "html").alias("h"), "html")
     chosen = rows.select("h").orderBy("h").limit(n).distinct()
-    found = rows.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy("h").collect()  # n pages at most
-    return [r["html"] for r in found]
+    return rows.join(F.broadcast(chosen), "h").dropDuplicates(["h"])  # n rows at most
+
+
+def fit_sample(chosen: DataFrame, seed: int = SEED) -> dict[str, np.ndarray] | None:
+    """Train in one task, single-threaded like all of Spark's Python workers; only the weights come back."""
+    names = list(new_weights(np.random.default_rng(0)))
+
+    def run(batches):
+        rows = sorted((h, html) for b in batches for h, html in zip(b.column("h").to_pylist(), b.column("html").to_pylist()))
+        w = fit([html for _, html in rows], seed) if rows else None
+        if w:
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([w[k].astype("<f4").tobytes() for k in names], pa.binary())], names=["name", "data"])
+
+    found = {r["name"]: np.frombuffer(r["data"], dtype="<f4") for r in chosen.coalesce(1).mapInArrow(run, "name string, data binary").collect()}
+    shapes = {k: v.shape for k, v in new_weights(np.random.default_rng(0)).items()}
+    return {k: v.reshape(shapes[k]) for k, v in found.items()} or None
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    found = extract(pages, fit(sample(pages.select("page_id", "url", "html"))))
+    found = extract(pages, fit_sample(sample(pages.select("page_id", "url", "html"))))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -302,7 +302,7 @@ def test_byte_bpe_odd_rows(spark):
 
 @pytest.fixture(scope="module")
 def weights(spark, small):
-    return html_lstm.fit(html_lstm.sample(spark.read.parquet(f"{small}/pages.parquet"), 120))
+    return html_lstm.fit_sample(html_lstm.sample(spark.read.parquet(f"{small}/pages.parquet"), 120))
 
 
 def test_html_labels_on_unseen_pages(spark, small, weights):
@@ -347,3 +347,4 @@ def test_html_odd_rows(spark, weights):
     assert len(html_lstm.extract(pages, weights).collect()) == 4
     assert html_lstm.extract(pages, None).where("page_id = 2").orderBy("text").collect()[1]["text"] == "x"
     assert html_lstm.extract(pages.limit(0), weights).count() == 0
+    assert html_lstm.fit_sample(html_lstm.sample(pages.limit(0))) is None
