@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomroute.llm import byte_bpe, line_dedup, positional_index, ppm_language, simhash_bktree
-from loomroute.plans.workspace import free_name, save
+from loomroute.llm import byte_bpe, jaccard, line_dedup, positional_index, ppm_language
+from loomroute.plans.workspace import checked_broadcast, free_name, save
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -30,12 +30,15 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one document stays: the one with the smallest doc_id, once."""
+    """Of each group of texts whose five-word shingles are alike by 0.8 or more (Jaccard) one document stays: the one with the smallest doc_id, once."""
     rows, row = _numbered(docs)
-    groups = simhash_bktree.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    groups = save(jaccard.groups(rows.select(F.col(row).alias("row"), "text")).withColumnRenamed("row", row), "groups")
+    many = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    held = save(groups.join(many, "component").join(rows.select("doc_id", row), row), "held")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first")
-    stays = rows.select("doc_id", row).join(groups, row).groupBy("component_id").agg(first).select(F.col(f"first.{row}").alias(row))
-    return rows.join(stays, row, "left_semi").select(docs.columns)
+    stays = held.groupBy("component").agg(first).select(F.col(f"first.{row}").alias(row))
+    gone = save(held.select(row).join(stays, row, "left_anti"), "gone")
+    return rows.join(checked_broadcast(gone, gone.count()), row, "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +62,7 @@ STAGES = [
     ("byte_bpe", token_ids),
 ]
 
-#: No stage list with trained models, BK-trees and BPE has a SQL form; tests hold it against brute force.
+#: No stage list with trained models, similarity groups and BPE has a SQL form; tests hold it against brute force.
 ORACLE_SQL = None
 
 

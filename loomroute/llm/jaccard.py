@@ -1,0 +1,154 @@
+"""Groups of texts whose shingle sets have a Jaccard similarity of 0.8 or more, all of them.
+
+Words and shingles are read as in ``simhash_bktree``, five words a shingle, but a shingle counts once however
+often it repeats. Equal sets are one node.
+
+Candidates: two sets as alike as that share one of the first ``n - ceil(0.8 n) + 1`` shingles of each in any
+order that holds for all sets (prefix filter), so only these are posted and no pair is lost. Shingles that many
+documents of a sample hold come last in the order; the sample sets the speed, never the result. Lengths and
+places bound the overlap before a pair is looked at, and a pair counts only by the exact size of its overlap.
+
+Large groups: each shingle's nodes are first compared with their neighbours by size alone; afterwards only pairs
+that are not yet in one group are compared, so copies of one text do not cost all their pairs.
+
+Shingles and sets are identified by 64-bit hashes. Defined cases: null text has no words; texts without words
+are alike; empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomroute.plans.workspace import checked_broadcast, save, shuffle_width
+
+from .simhash_bktree import components
+
+WORDS = 5
+#: Documents of the sample that finds the frequent shingles, how many of them hold one, and the most that are kept.
+SAMPLE, OFTEN, MOST = 20_000, 5, 100_000
+#: Postings a task and pairs at once.
+TASK_POSTINGS = 500_000
+PIECE = 1_000_000
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes, signed."""
+    parts = text.encode().lower().split() if text else []
+    if not parts:
+        return np.empty(0, dtype=np.int64)
+    joined = b" ".join(parts)
+    n = max(len(parts) - words + 1, 1)
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    starts = [0, *ends[: n - 1].tolist()]
+    stops = (ends[len(parts) - n :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, stops)), dtype=np.uint64, count=n).view(np.int64))
+
+
+def prefix(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The shingles of which two sets of similarity 0.8 or more share at least one."""
+    n = len(own)
+    if len(frequent) and n:
+        late = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
+        own = np.concatenate([own[~late], own[late]])
+    return own[: n - (4 * n + 4) // 5 + 1]
+
+
+def _sets(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
+    """(row, node, n, terms): the set's hash and size, and its prefix (all of it without ``frequent``), null if the task had the set before."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                nodes, sizes, terms = [], [], []
+                for text in part.column("text").to_pylist():
+                    own = shingles(text)
+                    node = int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64))
+                    nodes.append(node)
+                    sizes.append(len(own))
+                    terms.append(None if node in seen else own if frequent is None else prefix(own, frequent))
+                    seen.add(node)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(terms, pa.list_(pa.int64()))], names=["row", "node", "n", "terms"])
+
+    return docs.mapInArrow(run, "row long, node long, n int, terms array<long>")
+
+
+def _frequent(docs: DataFrame, total: int) -> np.ndarray:
+    sample = docs.where(F.pmod(F.xxhash64("row"), F.lit(total // SAMPLE + 1)) == 0)
+    counts = _sets(sample, None).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    held = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "term").limit(MOST).select("term").toPandas()
+    return np.sort(held["term"].to_numpy(dtype=np.int64))
+
+
+def _candidates(batches, neighbours: bool):
+    """(u, v) of one task's postings: nodes that share a term, may be alike and have different labels."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    term, node, n, at, label = (table.column(c).to_numpy() for c in ("term", "node", "n", "at", "label"))
+    order = np.lexsort((node, n, term))
+    term, node, n, at, label = term[order], node[order], n[order].astype(np.int64), at[order], label[order]
+    once = np.ones(len(term), dtype=bool)
+    once[1:] = (term[1:] != term[:-1]) | (node[1:] != node[:-1])  # one node may come from several tasks
+    first = np.flatnonzero(once & np.concatenate([[True], term[1:] != term[:-1]]))
+    mixed = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
+    keep = once & np.repeat(mixed, np.diff([*first, len(term)]))
+    term, node, n, at, label = term[keep], node[keep], n[keep], at[keep], label[keep]
+    i, step, pieces, size = np.arange(len(term)), 0, [], 0
+
+    def flushed():
+        u, v = np.unique(np.concatenate(pieces), axis=0).T
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    while len(i):
+        step += 1
+        i = i[i + step < len(term)]
+        j = i + step
+        i = i[(term[i] == term[j]) & (5 * n[i] >= 4 * n[j])]  # sorted by size: who fails here fails later too
+        j = i + step
+        near = (label[i] != label[j]) & (9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j]))
+        if near.any():
+            a, b = node[i[near]], node[j[near]]
+            pieces.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            size += len(a)
+            if size > PIECE:
+                yield flushed()
+                pieces, size = [], 0
+        if neighbours:
+            break
+    if pieces:
+        yield flushed()
+
+
+def _alike(docs: DataFrame, sets: DataFrame, postings: DataFrame, width: int, neighbours: bool) -> DataFrame:
+    """(u, v): the candidates whose similarity is 0.8 or more, by the exact overlap of their sets."""
+    pairs = postings.repartition(width, "term").mapInArrow(lambda b: _candidates(b, neighbours), "u long, v long")
+    pairs = save(pairs.distinct(), "candidates")
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    asked = save(sets.where("terms is not null").join(asked, "node").groupBy("node").agg(F.min("row").alias("row")).select("row"), "asked")
+    whole = save(_sets(docs.join(checked_broadcast(asked, asked.count()), "row", "left_semi"), None).where("terms is not null").select("node", "terms"), "whole_sets")
+    both = pairs.join(whole.toDF("u", "a"), "u").join(whole.toDF("v", "b"), "v")
+    return save(both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), "alike")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(row, component) for each row of (row, text); rows of one component are alike, directly or through others."""
+    docs = docs.select("row", "text")
+    sets = save(_sets(docs, _frequent(docs, docs.count())), "sets")
+    postings = sets.select("node", "n", F.posexplode("terms").alias("at", "term"))
+    n_postings = sets.where("terms is not null").agg(F.sum(F.size("terms"))).first()[0] or 0
+    width = max(shuffle_width(docs.sparkSession), n_postings // TASK_POSTINGS + 1)
+    links = _alike(docs, sets, postings.withColumn("label", F.col("node")), width, True)
+    labels = save(components(links), "labels")
+    labels = checked_broadcast(labels.toDF("node", "label"), labels.count())
+    rest = _alike(docs, sets, postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), width, False)
+    labels = save(components(links.union(rest)), "labels")
+    labels = checked_broadcast(labels.toDF("node", "label"), labels.count())
+    return sets.select("row", "node").join(labels, "node", "left").select("row", F.coalesce("label", "node").alias("component"))

@@ -1,5 +1,7 @@
 """Each stage on its own input against brute force."""
 
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -42,3 +44,45 @@ def test_stages_take_odd_rows(spark, small):
         for name, stage in corpus_pipeline.STAGES:
             docs = save(stage(spark, docs, small), name)
         assert docs.count() <= 3
+
+
+def plain_shingles(text):
+    parts = (text or "").encode().lower().split()
+    return frozenset(b" ".join(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))) if parts else frozenset()
+
+
+def plain_kept(rows):
+    """The smallest doc_id of each group linked by a Jaccard similarity of 0.8 or more."""
+    sets = [plain_shingles(text) for _, text in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(d, least.get(root(i), d))
+    return sorted(least.values())
+
+
+def test_near_dedup_is_exact_jaccard(spark, small):
+    rng = random.Random(5)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    for k in range(60):  # near copies on both sides of the bound, chains among them
+        words = (rng.choice(rows)[1] or "none").split() or ["none"]
+        for _ in range(rng.randint(1, max(1, len(words) // 25))):
+            words[rng.randrange(len(words))] = f"w{k}x{rng.random()}"
+        rows.append((10_000 + k, " ".join(words)))
+    rows += [(20_000, ""), (20_001, None), (20_002, "one two three four five six"), (20_003, "one two three four five")]
+    rng.shuffle(rows)
+    docs = save(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, small).collect())
+    assert kept == plain_kept(rows)
+    assert len(kept) < len(rows) - 20
