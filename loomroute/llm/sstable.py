@@ -215,14 +215,14 @@ class WordEncoder:
 
     Such a vocabulary encodes every pre-token alone, so a worker remembers the ids of those it has met and asks
     the library for the others only, many at a time. Texts with characters for which lower-casing, composition
-    or the classes of the splitting pattern need the library's own tables go to the library whole.
+    or the classes of the splitting pattern need the library's own tables go to the library whole, and so do texts
+    that hold an added token, which the library finds before it splits.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.ends = np.zeros(size, dtype=bool)
@@ -232,6 +232,8 @@ class WordEncoder:
         letters = r"a-z\xdf-\xf6\xf8-\xff"
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^\t-\r {letters}0-9]+").findall
         self.unusual = re.compile(r"[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]").search
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE).search
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -254,7 +256,7 @@ class WordEncoder:
             memo.clear()
         other = []
         for i, text in enumerate(texts):
-            if text.isascii() or not self.unusual(text):
+            if (text.isascii() or not self.unusual(text)) and not self.added(text):
                 plain.append((i, self.split(text.lower())))
             else:
                 other.append(i)

@@ -348,3 +348,10 @@ def test_html_odd_rows(spark, weights):
     assert html_lstm.extract(pages, None).where("page_id = 2").orderBy("text").collect()[1]["text"] == "x"
     assert html_lstm.extract(pages.limit(0), weights).count() == 0
     assert html_lstm.fit_sample(html_lstm.sample(pages.limit(0))) is None
+
+
+def test_word_encoder_leaves_added_tokens_to_the_library():
+    tokenizer = Tokenizer.from_file(WORDS)  # at its defaults
+    texts = ["end of text <|endoftext|> next", "<|startoftext|>a b<|endoftext|>", "<|ENDOFTEXT|> x", "< |endoftext| >", "plain text", "é<|endoftext|>"]
+    for t, ids in zip(texts, sstable.WordEncoder(WORDS).encode(texts)):
+        assert np.frombuffer(ids, dtype="<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
