@@ -12,7 +12,7 @@ varied (containers renamed or dropped, foreign boilerplate put in) so that the l
 blocks that the sample lacks. One task trains; only the weights, of fixed size, reach the driver and are broadcast.
 
 Defined cases: null or empty html gives empty text; broken markup is read as far as it goes, with the implied
-ends of paragraphs, list items and cells; scripts, styles, forms' fields and the head are never blocks; pages of
+ends of paragraphs, list items, cells and the head, and skipped elements end with their parent; scripts, styles, forms' fields and the head are never blocks; pages of
 any length are read whole; a table whose sample has no block at all is judged by the teacher's rules; other
 columns are ignored.
 """
@@ -38,11 +38,13 @@ LEARNING_RATE = 0.01
 WINDOW = 64
 
 # Tags of HTML by their meaning, and names that sites give to kinds of blocks.
-SKIPPED = frozenset("script style noscript template svg iframe textarea select option button head title object canvas".split())
+SKIPPED = frozenset("script style noscript template svg iframe textarea select option button title object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split()
 )
+#: Tags that can stand in a head; any other one ends it.
+HEAD_TAGS = frozenset("base basefont bgsound html link meta noframes noscript script style template title".split())
 CONTENT_TAGS = ("article", "main")
 CONTENT_NAMES = ("content", "post", "entry", "article", "story", "main")
 BOILER_TAGS = ("nav", "footer", "aside", "form", "menu", "dialog", "header")
@@ -62,6 +64,8 @@ class _Blocks(HTMLParser):
         self.stack: list[tuple[str, tuple[str, ...]]] = []
         self.text: list[str] = []
         self.skip = ""
+        self.inside: list[str] = []  # block tags open inside the skipped element
+        self.head = False
         self.skips = self.links = self.linked = 0
 
     def _flush(self) -> None:
@@ -77,11 +81,20 @@ class _Blocks(HTMLParser):
             self.stack.pop()
 
     def handle_starttag(self, tag, attrs):
-        if self.skip:
+        if self.skip and not (self.head and tag == "body"):
             self.skips += tag == self.skip
+            if tag in BLOCK and tag not in VOID:
+                self.inside.append(tag)
             return
+        self.skip = ""
+        if tag == "head":
+            self._flush()
+            self.head = True
+            return
+        if tag not in HEAD_TAGS:
+            self.head = False
         if tag in SKIPPED:
-            self.skip, self.skips = tag, 1
+            self.skip, self.skips, self.inside = tag, 1, []
         elif tag == "br":
             self.text.append(" ")
         elif tag == "a":
@@ -113,8 +126,17 @@ class _Blocks(HTMLParser):
                 self.skips -= 1
                 if not self.skips:
                     self.skip = ""
-            return
-        if tag == "a":
+                return
+            if tag in self.inside:
+                while self.inside.pop() != tag:
+                    pass
+                return
+            if not (tag == "head" and self.head or any(tag == t for t, _ in self.stack)):
+                return
+            self.skip = ""  # its parent closes
+        if tag == "head":
+            self.head = False
+        elif tag == "a":
             self.links = 0
         elif tag in BLOCK:
             self._flush()
@@ -125,6 +147,7 @@ class _Blocks(HTMLParser):
 
     def handle_data(self, data):
         if not self.skip:
+            self.head = self.head and data.isspace()  # text cannot stand in a head
             self.text.append(data)
             if self.links:
                 self.linked += len(data)

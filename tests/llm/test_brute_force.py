@@ -355,3 +355,15 @@ def test_word_encoder_leaves_added_tokens_to_the_library():
     texts = ["end of text <|endoftext|> next", "<|startoftext|>a b<|endoftext|>", "<|ENDOFTEXT|> x", "< |endoftext| >", "plain text", "é<|endoftext|>"]
     for t, ids in zip(texts, sstable.WordEncoder(WORDS).encode(texts)):
         assert np.frombuffer(ids, dtype="<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_html_unclosed_head_and_skipped_elements():
+    def read(page):
+        return [b[0] for b in html_lstm.blocks(page)]
+
+    assert read("<html><head><title>t</title><script>s</script><body><article><p>a</article>") == ["a"]
+    assert read("<html><head><meta charset=x><link href=y><style>s</style><article><p>a</article>") == ["a"]
+    assert read("<html><head><title>t</title></head><body><p>a") == ["a"]
+    for tag in ("button", "select", "svg", "noscript", "template", "object"):
+        assert read(f"<body><div><{tag}>x<div>y</div>z</div><p>a") == ["a"], tag
+        assert read(f"<body><div><{tag}><div>y</div></{tag}>b</div><p>a") == ["b", "a"], tag
