@@ -1,6 +1,6 @@
 """I-Match fingerprints with randomised lexicons.
 
-Terms are lower-cased words. A term is kept if the share of documents that hold it lies within the band
+Terms are lower-cased words. A term is kept if the share of distinct texts that hold it lies within the band
 [``low``, ``high``], that is, if its inverse document frequency lies within [-ln high, -ln low]. Several random
 subsets of this lexicon are drawn by hashing, of geometrically falling density, so that some subset leaves few
 terms of a long document and some leaves many of a short one. For each subset a document's distinct kept terms
@@ -44,9 +44,20 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return words.groupBy(F.xxhash64("w").alias("term")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(text) once for each distinct text, and their number; only hashes are shuffled. Null counts as empty."""
+    keyed = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    keyed = keyed.withColumn("a", F.xxhash64("text")).withColumn("b", F.xxhash64(F.lit("text"), "text"))
+    counts = keyed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    repeated = save(counts.where("n > 1"), "repeated")
+    copies, n_repeated = repeated.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)), F.count(F.lit(1))).first()
+    firsts = checked_broadcast(repeated.select("a", "b", "first"), n_repeated)
+    return keyed.join(firsts, ["a", "b"], "left").where("first is null or first = row").select("text"), docs.count() - copies
+
+
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, subsets): terms within the band, and the subsets they are in as bits."""
-    total = docs.count()
+    """(term, subsets): terms within the band, and the subsets they are in as bits. Copies of a text count once."""
+    docs, total = distinct_texts(docs)
     band = term_counts(docs).where((F.col("n") >= low * total) & (F.col("n") <= max(high * total, 1)))
     bits = F.lit(0).cast("long")
     for i, density in enumerate(DENSITIES):

@@ -367,3 +367,13 @@ def test_html_unclosed_head_and_skipped_elements():
     for tag in ("button", "select", "svg", "noscript", "template", "object"):
         assert read(f"<body><div><{tag}>x<div>y</div>z</div><p>a") == ["a"], tag
         assert read(f"<body><div><{tag}><div>y</div></{tag}>b</div><p>a") == ["b", "a"], tag
+
+
+def test_imatch_band_ignores_copies(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    hot = docs.orderBy("doc_id").limit(1)
+    many = hot.select(F.explode(F.sequence(F.lit(1000), F.lit(1099))).alias("doc_id"), "text")  # a third of the rows
+    more = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(many.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    alone, among = (sorted(tuple(r) for r in imatch.lexicon(d).collect()) for d in (docs, more))
+    assert alone == among
+    assert any(imatch.fingerprints(more).where("doc_id = 1000").first()["own"])
