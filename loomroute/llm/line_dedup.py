@@ -9,9 +9,10 @@ rows that repeat a doc_id count as one document for the threshold; a null doc_id
 sorts before all others; empty tables give empty results; columns beside doc_id and text pass through
 unchanged whatever their names.
 
-Plan: one scan writes the distinct (key hash, doc_id) pairs, counted with map-side partial sums; only pairs
-of keys that reach the threshold are looked at again, so a line found everywhere costs one partial sum per
-task. Texts are shuffled once, by doc_id, and only lines of documents that lose something are filtered.
+Plan: one scan explodes the lines with their positions and writes (document, position, key hash) of those that
+are long enough. Documents per hash are counted in two steps, first per (hash, document), so a line found
+everywhere is spread over all tasks and costs one partial sum per task. Lines of dropped keys give each document
+the positions that it loses; the text is reassembled from the positions left, in time linear in its lines.
 """
 
 from __future__ import annotations
@@ -32,40 +33,47 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _key_hash(line: Column) -> Column:
-    """128 bits of two chained 64-bit hashes, as a struct."""
-    key = ascii_lower(F.btrim(line, F.lit(BLANK)))
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("line"), key).alias("b"))
+def _document(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """What a document is known by: its id and two hashes of its text. Rows equal in both have the same lines."""
+    return [F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("ta"), F.xxhash64(F.lit("text"), text).alias("tb")]
 
 
-def _hashes(text: Column, min_chars: int) -> Column:
-    """Distinct hashes of the text's lines that are long enough."""
-    long_lines = F.filter(_lines(text), lambda x: F.char_length(F.btrim(x, F.lit(BLANK))) >= min_chars)
-    return F.array_distinct(F.transform(long_lines, _key_hash))
+def exploded_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, ta, tb, pos, a, b): each line of at least ``min_chars``, with two hashes of its key."""
+    lines = docs.select(*_document(), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    lines = lines.withColumn("key", F.btrim("line", F.lit(BLANK))).where(F.char_length("key") >= min_chars).withColumn("key", ascii_lower(F.col("key")))
+    return lines.select("doc_id", "ta", "tb", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit("line"), "key").alias("b"))
 
 
-def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, keys): the key hashes that a document loses. Documents that lose nothing have no row."""
-    pairs = save(docs.select("doc_id", F.explode(_hashes(F.col("text"), min_chars)).alias("h")).select("doc_id", "h.a", "h.b"), "line_hashes")
-    # Rows per key bound its documents from above: all but the repeated keys go before the exact count.
-    often = save(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b"), "often")
-    held = pairs.join(checked_broadcast(often, often.count()), ["a", "b"]).distinct()
-    keys = held.groupBy("a", "b").agg((F.count("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+def lost_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, ta, tb, lost): the positions of the lines that a document loses. Documents that lose nothing have no row."""
+    lines = save(exploded_lines(docs, min_chars), "lines")
+    holders = lines.groupBy("a", "b", "doc_id").agg(F.lit(1).alias("one"))
+    keys = holders.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     keys = save(keys.select("a", "b", "keeper"), "keys")
-    lost = pairs.join(checked_broadcast(keys, keys.count()), ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("keys"))
+    lost = lines.join(checked_broadcast(keys, keys.count()), ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    return lost.groupBy("doc_id", "ta", "tb").agg(F.collect_set("pos").alias("lost"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with ``text`` reassembled, plus ``_n_lines`` and ``_n_dropped`` (replaced if present)."""
-    at, keys, kept = (free_name(docs, x) for x in ("_lost_id", "_lost_keys", "_lines_kept"))
-    lost = dropped_keys(docs, min_chars, min_docs).toDF(at, keys)
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost[at]), "left")
+    at, ta, tb, lost, kept = (free_name(docs, x) for x in ("_lost_id", "_lost_a", "_lost_b", "_lost", "_places"))
+    found = lost_positions(docs, min_chars, min_docs).toDF(at, ta, tb, lost)
+    same = [a.eqNullSafe(F.col(b)) for a, b in zip((docs["doc_id"], F.xxhash64(docs["text"]), F.xxhash64(F.lit("text"), docs["text"])), (at, ta, tb))]
+    joined = docs.join(found, same, "left")
     lines = _lines(F.col("text"))
-    stays = F.filter(lines, lambda x: (F.char_length(F.btrim(x, F.lit(BLANK))) < min_chars) | ~F.array_contains(F.col(keys), _key_hash(x)))
-    joined = joined.withColumn(kept, F.when(F.col(keys).isNotNull(), stays)).withColumn("_n_lines", F.size(lines).cast("long"))
+    joined = joined.withColumn("_n_lines", F.size(lines).cast("long"))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
+    joined = joined.withColumn(kept, F.when(F.col(lost).isNotNull(), places))
     joined = joined.withColumn("_n_dropped", F.when(F.col(kept).isNull(), F.lit(0).cast("long")).otherwise(F.col("_n_lines") - F.size(kept)))
-    return joined.withColumn("text", F.when(F.col(kept).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop(at, keys, kept)
+    left = F.array_join(_at_places(lines, F.col(kept)), "\n")
+    return joined.withColumn("text", F.when(F.col(kept).isNull(), F.col("text")).otherwise(left)).drop(at, ta, tb, lost, kept)
+
+
+def _at_places(lines: Column, places: Column) -> Column:
+    """The lines at the given places (from 0), in order; the array of lines is an argument, so it is made once a row."""
+    both = F.array(F.struct(lines.alias("all"), places.alias("at")))
+    return F.transform(both, lambda x: F.transform(x["at"], lambda i: F.get(x["all"], i)))[0]
 
 
 def query(spark, sf_dir: str) -> DataFrame:
