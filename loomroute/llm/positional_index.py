@@ -13,7 +13,8 @@ the planner's shuffle join takes over.
 
 Defined cases: null text has no words; items without words have no window and match nothing; an item of
 fewer than ``width`` words is one window; rows that repeat a doc_id or item_id are separate documents, or
-one item; a null item_id matches nothing; empty tables give no match; other columns are ignored.
+one item; an item with a null item_id counts for hits and is left out of item lists; empty tables give no
+match; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,13 +59,19 @@ def build(docs: DataFrame, terms: DataFrame, shards: int | None = None) -> Posit
     n = shards or shuffle_width(spark)
     end = spark.range(1).select(F.xxhash64(F.lit("")).alias("term"))
     wanted = save(terms.unionByName(end), "terms")
-    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).repartition(n, "row")
+    n_wanted = wanted.count()
+    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    if n_wanted <= BROADCAST_ROWS:  # the texts are dealt out once, and the postings stay where they are made
+        rows = rows.repartition(n, "row")
     words = rows.select("row", "doc_id", F.posexplode(padded_words(F.col("text"))).alias("pos", "w"))
     words = words.select("row", "doc_id", F.xxhash64("w").alias("term"), (F.col("w") == "").alias("mark"), "pos").where(~F.col("mark") | (F.col("pos") > 0))
-    postings = words.join(checked_broadcast(wanted, wanted.count()), "term").select("row", "doc_id", "term", "pos")
+    postings = words.join(checked_broadcast(wanted, n_wanted), "term").select("row", "doc_id", "term", "pos")
+    if n_wanted > BROADCAST_ROWS:  # a shuffle join dealt them by term
+        postings = postings.repartition(n, "row")
     name = f"loomroute_index_{uuid.uuid4().hex}"
     postings.write.bucketBy(n, "row").sortBy("term").option("path", new_folder(spark, name)).saveAsTable(name)
     table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files at the path stay as long as other work tables
     is_end = F.col("term") == F.xxhash64(F.lit(""))
     return PositionalIndex(
         postings=table.where(~is_end).select("row", "term", "pos"),
@@ -130,7 +137,6 @@ def match_proximity(index: PositionalIndex, queries: DataFrame, span: int) -> Da
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per document row: doc_id, row, n_words, n_hit (words inside an occurrence), items (sorted as strings)."""
-    items = items.where(F.col("item_id").isNotNull())
     found_windows = save(windows(items, width), "windows")
     index = build(docs, query_terms(items))
     hits = save(match_phrases(index, found_windows.select("wid", "terms").distinct()), "hits")
@@ -162,7 +168,7 @@ dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
        FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, lens WHERE len(w) >= n)),
 hits AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+its AS (SELECT doc_id, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
         FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(pos.n_hit, 0) AS n_hit, coalesce(its.n_items, 0) AS n_items,
        sha256(coalesce(its.items, '')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AS contaminated
