@@ -1,7 +1,8 @@
-"""Recursion over AND-OR graphs, level by level.
+"""Recursion over AND-OR graphs, round by round, until nothing changes.
 
-Each level is one join and one aggregate on distributed tables; lineage is cut with a written table after each,
-so a lost executor never recomputes the levels before.
+Each round is a few joins and aggregates on distributed tables that look only at what the round before added.
+Its result is written, so a lost executor never recomputes the rounds before, and the table of the round before
+goes. A graph that has a cycle where none may be is an error, never an incomplete result.
 """
 
 from __future__ import annotations
@@ -11,36 +12,44 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomroute.plans.workspace import save
+from loomroute.plans.workspace import Rounds, save
 
 WORST, BEST = -1e18, 1e18
 
 
-def ancestors(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, ancestor, distance) of a forest of (child, parent), up to ``most`` levels; self loops are left out."""
-    own = edges.where("child <> parent").select("child", "parent")
-    level = own.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance"))
-    levels = [level]
-    up = own.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
-    for _ in range(most - 1):
-        level = save(level.join(up, "ancestor").select("node", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance")), "level")
-        if level.isEmpty():
-            break
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
-
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, distance) of a forest of (child, parent), all of them; self loops are left out.
 
-def longest_chain(edges: DataFrame, most: int = 60) -> DataFrame:
+    Distances double from round to round: pairs at the largest distance known are continued by all pairs known.
+    A node that is its own ancestor raises ValueError.
+    """
+    pairs = edges.where("child <> parent").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance"))
+    known = [save(pairs.distinct(), "closure")]
+    reach = 1
+    while True:
+        every = reduce(DataFrame.unionByName, known)
+        far = known[-1].where(F.col("distance") == reach).select("node", F.col("ancestor").alias("via"), F.col("distance").alias("d"))
+        on = every.select(F.col("node").alias("via"), "ancestor", "distance")
+        more = save(far.join(on, "via").select("node", "ancestor", (F.col("d") + F.col("distance")).alias("distance")), "closure")
+        if more.isEmpty():
+            return every
+        if not more.where("node = ancestor").isEmpty():
+            raise ValueError("the edges hold a cycle")
+        known.append(more)
+        reach *= 2
+
+
+def longest_chain(edges: DataFrame) -> DataFrame:
     """(node, depth): the number of levels below each node, leaves have 0."""
-    below = ancestors(edges, most).groupBy(F.col("ancestor").alias("node")).agg(F.max("distance").alias("depth"))
+    below = ancestors(edges).groupBy(F.col("ancestor").alias("node")).agg(F.max("distance").alias("depth"))
     nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
     return nodes.join(below, "node", "left").select("node", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
 
 
-def leaf_walk(edges: DataFrame, most: int = 60) -> DataFrame:
+def leaf_walk(edges: DataFrame) -> DataFrame:
     """(root, leaf): the childless nodes below each node."""
     inner = edges.where("child <> parent").select(F.col("parent").alias("node")).distinct()
-    return ancestors(edges, most).join(inner, "node", "left_anti").select(F.col("ancestor").alias("root"), F.col("node").alias("leaf"))
+    return ancestors(edges).join(inner, "node", "left_anti").select(F.col("ancestor").alias("root"), F.col("node").alias("leaf"))
 
 
 def cycle_candidates(offers: DataFrame, closure: DataFrame) -> DataFrame:
@@ -50,56 +59,68 @@ def cycle_candidates(offers: DataFrame, closure: DataFrame) -> DataFrame:
 
 
 def maxmin(candidates: DataFrame, stock: DataFrame, levels: int) -> DataFrame:
-    """(node, value) after ``levels`` rounds.
+    """(node, value) after ``levels`` rounds, or fewer if a round changes nothing.
 
     ``candidates``: (node, candidate, signal, pieces). A node in stock (node) is worth the best; otherwise the
     largest over its candidates of the smaller of the candidate's signal and its worst piece. A node with no
-    candidate, or none that closes within the levels, is worth the worst. A null signal is the worst.
+    candidate, or none that closes within the levels, is worth the worst. A null signal is the worst. Values only
+    rise, so after the first round only nodes with a candidate whose piece has just risen are looked at.
     """
     pieces = candidates.select("node", "candidate", F.coalesce("signal", F.lit(WORST)).alias("signal"), F.explode("pieces").alias("piece"))
     nodes = candidates.select("node").union(pieces.select("piece")).distinct()
     start = nodes.join(stock.select("node").withColumn("_in", F.lit(True)), "node", "left")
-    start = save(start.select("node", F.coalesce("_in", F.lit(False)).alias("held"), F.when(F.col("_in"), BEST).otherwise(WORST).alias("value")), "values")
-    state = start
+    held = F.coalesce("_in", F.lit(False))
+    rounds = Rounds("values")
+    # rose: whether the round before changed the value.
+    state = rounds.save(start.select("node", held.alias("held"), F.when(F.col("_in"), BEST).otherwise(WORST).alias("value"), held.alias("rose")))
     for _ in range(levels):
+        touched = pieces.join(state.where("rose").select(F.col("node").alias("piece")), "piece", "left_semi").select("node", "candidate").distinct()
+        own = pieces.join(touched, ["node", "candidate"], "left_semi")
         of_piece = state.select(F.col("node").alias("piece"), F.col("value").alias("piece_value"))
-        worth = pieces.join(of_piece, "piece").groupBy("node", "candidate").agg(F.least(F.first("signal"), F.min("piece_value")).alias("v")).groupBy("node").agg(F.max("v").alias("v"))
-        state = save(start.join(worth, "node", "left").select("node", "held", F.when(F.col("held"), BEST).otherwise(F.coalesce("v", F.lit(WORST))).alias("value")), "values")
+        worth = own.join(of_piece, "piece").groupBy("node", "candidate").agg(F.least(F.first("signal"), F.min("piece_value")).alias("v")).groupBy("node").agg(F.max("v").alias("v"))
+        after = F.when(F.col("held"), F.col("value")).otherwise(F.greatest("value", "v"))
+        state = rounds.save(state.join(worth, "node", "left").select("node", "held", after.alias("value"), (after > F.col("value")).alias("rose")))
+        if state.where("rose").isEmpty():
+            break
     return state.select("node", "value")
 
 
-def settle(reactions: DataFrame, closed: DataFrame, most: int = 60) -> DataFrame:
+def settle(reactions: DataFrame, closed: DataFrame) -> DataFrame:
     """(node, level): nodes that close. ``reactions``: (node, reaction, pieces); a node closes when all pieces of one of its reactions have.
 
-    ``closed`` (node) holds level 0. Rounds end when nothing new closes.
+    ``closed`` (node) holds level 0. Rounds end when nothing new closes. A reaction without pieces closes nothing.
     """
-    pieces = reactions.select("node", "reaction", F.explode("pieces").alias("piece"))
-    state = save(closed.select("node").distinct().withColumn("level", F.lit(0).cast("long")), "closed")
-    done = state.count()
-    for level in range(1, most + 1):
-        have = state.select(F.col("node").alias("piece")).withColumn("_in", F.lit(True))
-        ready = pieces.join(have, "piece", "left").groupBy("node", "reaction").agg(F.min(F.coalesce(F.col("_in").cast("int"), F.lit(0))).alias("all_in")).where("all_in = 1")
-        new = ready.select("node").distinct().join(state, "node", "left_anti").withColumn("level", F.lit(level).cast("long"))
-        state = save(state.unionByName(new), "closed")
-        now = state.count()
-        if now == done:
-            break
-        done = now
-    return state
-
-
-def dead(reactions: DataFrame, dead_nodes: DataFrame, most: int = 60) -> DataFrame:
+    pieces = reactions.select("node", "reaction", F.explode("pieces").alias("piece")).distinct()
+    new = save(closed.select("node").distinct().withColumn("level", F.lit(0).cast("long")), "closed")
+    levels, open_pieces, waits = [new], Rounds("open_pieces"), Rounds("waiting")
+    missing = pieces
+    waiting = pieces.select("node", "reaction").distinct()
+    while True:
+        # Both tables only shrink: pieces not closed yet, and reactions of nodes not closed yet.
+        gone = new.select("node")
+        missing = open_pieces.save(missing.join(gone.withColumnRenamed("node", "piece"), "piece", "left_anti").join(gone, "node", "left_anti"))
+        waiting = waits.save(waiting.join(gone, "node", "left_anti"))
+        ready = waiting.join(missing.select("node", "reaction").distinct(), ["node", "reaction"], "left_anti")
+        new = save(ready.select("node").distinct().withColumn("level", F.lit(len(levels)).cast("long")), "closed")
+        if new.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(new)
+
+
+def dead(reactions: DataFrame, dead_nodes: DataFrame) -> DataFrame:
     """(node): dead nodes with all that die of them: a reaction fails with any dead piece, a node with all its reactions failed."""
-    pieces = reactions.select("node", "reaction", F.explode("pieces").alias("piece"))
-    state = save(dead_nodes.select("node").distinct(), "dead")
-    done = state.count()
-    for _ in range(most):
-        gone = state.select(F.col("node").alias("piece")).withColumn("_dead", F.lit(1))
-        failed = pieces.join(gone, "piece", "left").groupBy("node", "reaction").agg(F.max(F.coalesce("_dead", F.lit(0))).alias("failed"))
-        lost = failed.groupBy("node").agg(F.min("failed").alias("all_failed")).where("all_failed = 1").select("node")
-        state = save(state.union(lost).distinct(), "dead")
-        now = state.count()
-        if now == done:
-            break
-        done = now
-    return state
+    pieces = reactions.select("node", "reaction", F.explode("pieces").alias("piece")).distinct()
+    new = save(dead_nodes.select("node").distinct(), "dead")
+    found, alive = [new], Rounds("alive_reactions")
+    living = pieces.select("node", "reaction").distinct()
+    while True:
+        # Only reactions with a piece that has just died fail; only their nodes can die of it.
+        failed = pieces.join(new.select(F.col("node").alias("piece")), "piece", "left_semi").select("node", "reaction").distinct()
+        before = living.join(new, "node", "left_anti")
+        living = alive.save(before.join(failed, ["node", "reaction"], "left_anti"))
+        hurt = failed.select("node").distinct()
+        lost = hurt.join(living.select("node").distinct(), "node", "left_anti").join(reduce(DataFrame.union, found), "node", "left_anti")
+        new = save(lost, "dead")
+        if new.isEmpty():
+            return reduce(DataFrame.union, found)
+        found.append(new)
