@@ -19,61 +19,75 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CANDIDATES = "cand AS (SELECT l_partkey AS product, l_suppkey AS key, l_returnflag AS backend, l_linenumber - 1 AS rank FROM lineitem)"
-BEST = "best AS (SELECT product, key, backend, min(coalesce(rank, 0)) AS rank FROM cand {where} GROUP BY product, key, backend)"
+BEST = "best AS (SELECT product, key, backend, min(coalesce(rank, 0)) AS rank, CASE backend WHEN {first} ELSE 1.0 END AS w FROM cand GROUP BY product, key, backend)"
+PLAIN = BEST.format(first="'-' THEN 0.0")
+#: Weights of the weighted queries; the third backend keeps the default of 1.
+WEIGHTS = {"A": 0.5, "N": 2.0}
+WEIGHTED = BEST.format(first="'A' THEN 0.5 WHEN 'N' THEN 2.0")
 AGG = """agg AS (
-  SELECT b.product, b.key, count(*) AS votes, avg(1.0 / (rank + 1)) AS mrr, min(rank) AS best_rank, sum(1.0 / (60 + rank)) AS rrf,
-         count(*) FILTER (rank = 0) AS plurality, round(count(*) + avg(1.0 / (rank + 1)), 6) AS score, max(n_ok) AS n_ok
-  FROM best b JOIN (SELECT product, count(DISTINCT backend) AS n_ok FROM best GROUP BY product) n USING (product) GROUP BY b.product, b.key)"""
+  SELECT b.product, b.key, CAST(round(sum(w), 4) AS DOUBLE) AS votes, count(*) AS n_backends, round(avg(1.0 / (rank + 1)), 4) AS mrr, min(rank) AS best_rank, round(sum(CAST(w AS DOUBLE) / (60 + rank)), 6) AS rrf,
+         CAST(round(coalesce(sum(w) FILTER (rank = 0), 0), 4) AS DOUBLE) AS plurality, round(sum(w) + avg(1.0 / (rank + 1)), 6) AS score, max(n_ok) AS n_ok, min(rank) FILTER (backend = pin) AS own_rank
+  FROM best b JOIN (SELECT product, count(DISTINCT backend) AS n_ok, {pin} AS pin FROM cand GROUP BY product) n USING (product) GROUP BY b.product, b.key)"""
+_SHOWN = "product, key, votes, n_backends, mrr, best_rank, rrf, plurality, round(n_backends / CAST(n_ok AS DOUBLE), 4) AS agreement, score, place"
 
 
-def _sql(order: str, where: str = "") -> str:
-    return f"""WITH {CANDIDATES}, {BEST.format(where=where)}, {AGG},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY {order}best_rank, key) AS place FROM agg)
-SELECT product, key, votes, best_rank, round(rrf, 6) AS rrf, plurality, round(votes / CAST(n_ok AS DOUBLE), 4) AS agreement, round(score, 4) AS score, place
-FROM ranked WHERE place <= {TOP}"""
+def _sql(order: str, best: str = PLAIN, pin: str = "NULL", where: str = "true") -> str:
+    return f"""WITH {CANDIDATES}, {best}, {AGG.format(pin=pin)},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY {order}, key) AS place FROM agg WHERE {where})
+SELECT {_SHOWN} FROM ranked WHERE place <= {TOP}"""
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    return df.select("product", "key", "votes", "best_rank", F.round("rrf", 6).alias("rrf"), "plurality", F.round("agreement", 4).alias("agreement"), F.round("score", 4).alias("score"), "place")
+    return df.select("product", "key", "votes", "n_backends", "mrr", "best_rank", "rrf", "plurality", "agreement", "score", "place")
 
 
-@query("consensus_vote", _sql("score DESC, "))
+@query("consensus_vote", _sql("score DESC, best_rank"))
 def consensus_vote(spark, sf):
     return _shown(consensus.rank(candidates(spark, sf), "vote", TOP))
 
 
-@query("consensus_rrf", _sql("round(rrf, 9) DESC, "))
+@query("consensus_rrf", _sql("rrf DESC, best_rank"))
 def consensus_rrf(spark, sf):
     return _shown(consensus.rank(candidates(spark, sf), "rrf", TOP))
 
 
-@query("consensus_plurality", _sql("plurality DESC, score DESC, "))
+@query("consensus_plurality", _sql("plurality DESC, rrf DESC"))
 def consensus_plurality(spark, sf):
     return _shown(consensus.rank(candidates(spark, sf), "plurality", TOP))
 
 
-@query("consensus_single", _sql("", "WHERE backend = 'R'"))
+@query("consensus_single", _sql("own_rank", pin="'R'", where="own_rank IS NOT NULL"))
 def consensus_single(spark, sf):
+    """Candidates of one named backend; products it did not answer for give nothing."""
     return _shown(consensus.rank(candidates(spark, sf), "single", TOP, pinned="R"))
 
 
-@query("consensus_union", _sql(""))
+@query("consensus_single_auto", _sql("own_rank", WEIGHTED, "min_by(backend, CASE backend WHEN 'N' THEN 0 WHEN 'R' THEN 1 ELSE 2 END)", "own_rank IS NOT NULL"))
+def consensus_single_auto(spark, sf):
+    """The answering backend of the largest weight speaks for each product."""
+    return _shown(consensus.rank(candidates(spark, sf), "single", TOP, weights=WEIGHTS, priority=("R", "A")))
+
+
+@query("consensus_union", _sql("rrf DESC, best_rank"))
 def consensus_union(spark, sf):
     return _shown(consensus.rank(candidates(spark, sf), "union", TOP))
 
 
+@query("consensus_weighted", _sql("score DESC, best_rank", WEIGHTED))
+def consensus_weighted(spark, sf):
+    return _shown(consensus.rank(candidates(spark, sf), "vote", TOP, weights=WEIGHTS))
+
+
 @query(
     "agreement_gate",
-    f"""WITH {CANDIDATES}, {BEST.format(where='')},
-top AS (SELECT product, backend, key FROM (SELECT *, row_number() OVER (PARTITION BY product, backend ORDER BY rank, key) AS k FROM best) WHERE k = 1),
-tops AS (SELECT product, key, count(*) AS tops FROM top GROUP BY product, key),
-n AS (SELECT product, count(*) AS n_ok FROM top GROUP BY product),
-lead AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY tops DESC, key) AS k FROM tops)
-SELECT product, key, tops, n_ok, round(tops / CAST(n_ok AS DOUBLE), 4) AS share, tops / CAST(n_ok AS DOUBLE) < 0.5 AS abstain
-FROM lead JOIN n USING (product) WHERE k = 1""",
+    f"""WITH {CANDIDATES}, {PLAIN},
+top AS (SELECT product, backend, min(key) AS key FROM best WHERE rank = 0 GROUP BY product, backend),
+tops AS (SELECT product, key, count(*) AS n, row_number() OVER (PARTITION BY product ORDER BY count(*) DESC, key) AS k FROM top GROUP BY product, key),
+ok AS (SELECT product, count(DISTINCT backend) AS n_ok FROM cand GROUP BY product)
+SELECT product, n_ok, key, coalesce(n, 0) AS agreement, coalesce(n, 0) < 2 AS abstained FROM ok LEFT JOIN (SELECT * FROM tops WHERE k = 1) USING (product)""",
 )
 def agreement_gate(spark, sf):
-    return consensus.agreement_gate(candidates(spark, sf), 0.5).select("product", "key", "tops", "n_ok", F.round("share", 4).alias("share"), "abstain")
+    return consensus.agreement_gate(candidates(spark, sf), 2)
 
 
 @query(
@@ -89,7 +103,7 @@ def mass_guard(spark, sf):
     return counts.join(kept, "backend", "left").select("backend", "offered", F.coalesce("kept", F.lit(0).cast("long")).alias("kept"), (F.col("offered") - F.coalesce("kept", F.lit(0))).alias("rejected"))
 
 
-_VOTED = f"""WITH {CANDIDATES}, {BEST.format(where='')}, {AGG},
+_VOTED = f"""WITH {CANDIDATES}, {PLAIN}, {AGG.format(pin='NULL')},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY score DESC, best_rank, key) AS place, votes > 1 AS matched FROM agg)
 """
 
