@@ -88,20 +88,33 @@ def price_term(total, low: float = 30.0, high: float = 100_000.0, floor: float =
     return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(floor), t)), F.lit(floor))
 
 
-def price_string(v) -> Column:
-    """Dollars by size: $x.xx below 10, $x.x below 100, $x below 1000, then thousands and millions."""
-    v = _col(v)
+#: Natural logarithm of a price from which only its bound is shown (fixed value).
+PRICE_SATURATE = 15.0
+#: Start and width of the logarithmic window that maps a cost to 0..1 (fixed values).
+COST_LOW, COST_SPAN = 2.5, 9.0
+
+
+def price_string(ln_price) -> Column:
+    """The price whose natural logarithm is given: two decimals below 1, one below 10, none below 1000, then k and M."""
+    v = _col(ln_price)
+    d = F.exp(v)
     return (
         F.when(v.isNull(), F.lit(""))
-        .when(v < 10, F.format_string("$%.2f", v))
-        .when(v < 100, F.format_string("$%.1f", v))
-        .when(v < 1000, F.format_string("$%.0f", v))
-        .when(v < 10_000, F.format_string("$%.1fk", v / 1000))
-        .when(v < 1_000_000, F.format_string("$%.0fk", v / 1000))
-        .otherwise(F.format_string("$%.1fM", v / 1_000_000))
+        .when(v >= PRICE_SATURATE, F.lit("$3.3M+"))
+        .when(d >= 1_000_000, F.format_string("$%.1fM", d / 1_000_000))
+        .when(d >= 10_000, F.format_string("$%.0fk", d / 1000))
+        .when(d >= 1000, F.format_string("$%.1fk", d / 1000))
+        .when(d >= 10, F.format_string("$%.0f", d))
+        .when(d >= 1, F.format_string("$%.1f", d))
+        .otherwise(F.format_string("$%.2f", d))
     )
 
 
+def cost_string(ln_price) -> Column:
+    """The same price on the scale of the other axes: $.187, lower is cheaper."""
+    return F.regexp_replace(F.format_string("$%.3f", ramp(_col(ln_price), COST_LOW, COST_LOW + COST_SPAN)), r"^\$0\.", r"\$.")
+
+
 def short_number(v, decimals: int = 3) -> Column:
     """A decimal without its leading zero: .374; a dash for null."""
     return F.coalesce(F.regexp_replace(F.format_string(f"%.{decimals}f", _col(v)), r"^(-?)0\.", "$1."), F.lit("--"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomroute.catalog import query
-from loomroute.functions import keys
+from loomroute.functions import keys, scores
 
 from .roles import MOLECULES, STEPS, molecules, sql, steps, table
 
@@ -42,28 +42,41 @@ def edge_cost_and_reward(spark, sf):
     return f.groupBy("route").agg(F.round(F.sum(cost), 4).alias("cost"), F.round(F.pow(F.exp(F.avg(F.log("f"))), F.lit(0.5)), 4).alias("reward"), F.round(F.avg(-F.log("f")), 4).alias("mean_nlf"))
 
 
+_LN = "((p_partkey * 7919) % 1000003) / 1000003.0 * 20 - 4"
+
+
 @query(
     "price_string",
-    """SELECT p_partkey AS molecule, printf('%.2f', v) AS value, CASE WHEN v < 10 THEN printf('$%.2f', v) WHEN v < 100 THEN printf('$%.1f', v) WHEN v < 1000 THEN printf('$%.0f', v) WHEN v < 10000 THEN printf('$%.1fk', v / 1000) WHEN v < 1000000 THEN printf('$%.0fk', v / 1000) ELSE printf('$%.1fM', v / 1000000) END AS shown
-FROM (SELECT p_partkey, (p_partkey * 7919 % 1000003) / 8.0 + 0.337 AS v FROM part)""",
+    f"""WITH v AS (SELECT p_partkey AS molecule, {_LN} AS v, exp({_LN}) AS d FROM part)
+SELECT molecule, CASE WHEN v >= 15 THEN '$3.3M+' WHEN d >= 1000000 THEN printf('$%.1fM', d / 1000000) WHEN d >= 10000 THEN printf('$%.0fk', d / 1000) WHEN d >= 1000 THEN printf('$%.1fk', d / 1000)
+ WHEN d >= 10 THEN printf('$%.0f', d) WHEN d >= 1 THEN printf('$%.1f', d) ELSE printf('$%.2f', d) END AS shown, replace(printf('$%.3f', least(1.0, greatest(0.0, (v - 2.5) / 9))), '$0.', '$.') AS normalised FROM v""",
 )
 def price_string(spark, sf):
-    v = table(spark, sf, "part").select(F.col("p_partkey").alias("molecule"), ((F.col("p_partkey") * 7919) % 1000003 / 8.0 + 0.337).alias("v"))
-    return v.select("molecule", F.format_string("%.2f", "v").alias("value"), keys.price_string("v").alias("shown"))
+    v = table(spark, sf, "part").select(F.col("p_partkey").alias("molecule"), ((F.col("p_partkey") * 7919) % 1000003 / 1000003.0 * 20 - 4).alias("v"))
+    return v.select("molecule", keys.price_string("v").alias("shown"), keys.cost_string("v").alias("normalised"))
 
 
 @query(
     "complexity_score",
-    """WITH r AS (SELECT p_partkey AS molecule, least(1.0, greatest(0.0, (p_size - 10) / 30.0)) AS a, least(1.0, greatest(0.0, (p_retailprice - 900) / 600.0)) AS b, least(1.0, greatest(0.0, (length(p_name) - 5) / 20.0)) AS c FROM part),
-s AS (SELECT molecule, 100 * (0.5 * a + 0.3 * b + 0.2 * c) AS score FROM r)
+    """WITH f AS (SELECT p_partkey AS molecule, 1 + p_size / 8.0 AS sa, p_partkey % 3 + 1.5 * (p_partkey % 2) + 1.5 * (p_size % 2) AS rings, (p_retailprice % 100) / 100 AS sp3, CASE WHEN p_size > 45 THEN 1.0 ELSE 0.0 END AS macro, length(p_name) % 9 AS stereo FROM part),
+r AS (SELECT molecule, least(1.0, greatest(0.0, (sa - 2.5) / 4)) AS a, least(1.0, greatest(0.0, rings / 4.0)) AS b, least(1.0, greatest(0.0, (sp3 - 0.2) / 0.7)) AS c, macro, least(1.0, stereo / 6.0) AS e FROM f),
+s AS (SELECT molecule, 100 * (0.45 * a + 0.25 * b + 0.15 * c + 0.10 * macro + 0.05 * e) AS score FROM r)
 SELECT molecule, round(score, 4) AS score, CASE WHEN score < 10 THEN 'single_step' WHEN score < 30 THEN 'single_then_escalate' ELSE 'multi_step_search' END AS decision FROM s""",
 )
 def complexity_score(spark, sf):
-    """Weighted ramps and the decision by thresholds."""
-    m = molecules(spark, sf)
-    score = 100 * (0.5 * keys.ramp("size", 10, 40) + 0.3 * keys.ramp("price", 900, 1500) + 0.2 * keys.ramp(F.length("name"), 5, 25))
-    s = m.select("molecule", score.alias("s"))
-    return s.select("molecule", F.round("s", 4).alias("score"), F.when(F.col("s") < 10, "single_step").when(F.col("s") < 30, "single_then_escalate").otherwise("multi_step_search").alias("decision"))
+    """Weighted ramps and the decision by thresholds; the structural counts are stand-ins on the part table."""
+    f = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("molecule"),
+        (1 + F.col("p_size") / 8.0).alias("sa"),
+        (F.col("p_partkey") % 3).alias("fused"),
+        (F.col("p_partkey") % 2).alias("bridged"),
+        (F.col("p_size") % 2).alias("spiro"),
+        (F.col("p_retailprice") % 100 / 100).alias("sp3"),
+        (F.col("p_size") > 45).alias("macrocycle"),
+        (F.length("p_name") % 9).alias("stereo"),
+    )
+    s = f.select("molecule", scores.complexity("sa", "fused", "bridged", "spiro", "sp3", "macrocycle", "stereo").alias("s"))
+    return s.select("molecule", F.round("s", 4).alias("score"), scores.complexity_decision("s").alias("decision"))
 
 
 @query(

@@ -115,9 +115,10 @@ def action_rates(spark, sf):
 
 @query(
     "clause_claims",
-    r"""WITH s AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\n+')) AS part FROM documents), t AS (SELECT doc_id, unnest(string_split(regexp_replace(part, '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1))) AS c FROM s),
-u AS (SELECT doc_id, unnest(string_split(regexp_replace(c, '\s+(but|while|whereas)\s+', chr(1), 'g'), chr(1))) AS c FROM t)
-SELECT doc_id, count(*) FILTER (trim(c) <> '') AS n_clauses, CAST(coalesce(sum(length(trim(c))) FILTER (trim(c) <> ''), 0) AS BIGINT) AS clause_chars FROM u GROUP BY doc_id""",
+    r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '([.;!?])\s+', '\1' || chr(1), 'g') AS t FROM documents),
+u AS (SELECT doc_id, regexp_replace(t, '\bwhile\b|\bwhereas\b|,\s+but\b|:\s+|\s+[—–]\s+|\s+--\s+', chr(1), 'g') AS t FROM t),
+v AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '\bbut\b(\s+c\d)', chr(1) || '\1', 'g'), chr(1))) AS c FROM u)
+SELECT doc_id, count(*) FILTER (regexp_matches(c, '\S')) AS n_clauses, CAST(coalesce(sum(length(c)) FILTER (regexp_matches(c, '\S')), 0) AS BIGINT) AS clause_chars FROM v GROUP BY doc_id""",
 )
 def clause_claims(spark, sf):
     c = table(spark, sf, "documents").select("doc_id", claims.clauses(F.col("text")).alias("c"))
@@ -143,7 +144,7 @@ def quoted_numbers(spark, sf):
 
 @query(
     "sentence_counts",
-    r"SELECT conv_id, turn, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[.!?]+'), lambda x: trim(x, ' ') <> '')) AS BIGINT) AS n_sentences FROM conversations",
+    r"SELECT conv_id, turn, CAST(len(list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '\S'))) AS BIGINT) AS n_sentences FROM conversations",
 )
 def sentence_counts(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", claims.sentence_count(F.col("text")).alias("n_sentences"))
