@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomroute.plans.workspace import save
+
+from . import quantiles
+
 
 def issues(rules: dict[str, Column]) -> Column:
     """Codes of the rules that hold, each once, in the rules' order; a rule that is null does not hold."""
@@ -12,12 +16,21 @@ def issues(rules: dict[str, Column]) -> Column:
 
 
 def split_share(df: DataFrame, unit: str, share: float, seed: int = 0) -> DataFrame:
-    """``part`` = valid for the units with the smallest hash, max(1, floor(n * share)) of them; else train. Units stay whole."""
-    units = df.select(unit).distinct()
-    ordered = units.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(unit).cast("string"))))
-    n = max(1, int(units.count() * share))
-    # The smallest n hashes: a bounded top-n, found with partial sorts.
-    chosen = ordered.orderBy("_h", unit).limit(n).select(unit).withColumn("_valid", F.lit(True))
+    """``part`` = valid for the units with the smallest hash, max(1, floor(n * share)) of them; else train. Units stay whole.
+
+    The hash of the last valid unit is found from counts, so nothing is sorted as a whole; only units that share its
+    first eight digits are put in order.
+    """
+    units = df.select(unit).distinct().withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(unit).cast("string"))))
+    units = save(units.withColumn("_head", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")), "units")
+    total = units.count()
+    if not total:
+        return df.withColumn("part", F.lit("train"))
+    n = max(1, int(total * share))
+    edge = quantiles.at_positions(units, [], "_head", {"edge": lambda _: F.lit(n - 1)}, cell=1 << 20).first()["edge"]
+    below = units.where(F.col("_head") < edge)
+    last = units.where(F.col("_head") == edge).orderBy("_h", unit).limit(n - below.count())  # units that share 32 bits
+    chosen = below.unionByName(last).select(unit).withColumn("_valid", F.lit(True))
     return df.join(chosen, unit, "left").withColumn("part", F.when(F.col("_valid"), "valid").otherwise("train")).drop("_valid")
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from loomroute.functions.keys import log_utility
 
+#: Routes that extraction hands on for a target (fixed value).
+EXTRACTED = 500
+
 
 def axes(steps: DataFrame, cut: float, rank_cut: int) -> DataFrame:
     """Per route over (route, pos, p, rt, price): shares, minimum, median and costs, each null if a step lacks the value.
@@ -42,6 +45,12 @@ def keep_first(df: DataFrame, group: list[str], key: str, order: list) -> DataFr
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def extracted(df: DataFrame, group: list[str], order: list, most: int = EXTRACTED) -> DataFrame:
+    """The first ``most`` rows of each group: a search hands on at most so many routes of a target."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+
+
 def solved(steps: DataFrame, stock: DataFrame) -> DataFrame:
     """Routes all of whose products are in ``stock`` (molecule)."""
     lacking = steps.join(stock, steps["product"] == stock["molecule"], "left_anti").select("route").distinct()

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomroute.catalog import query
-from loomroute.operators import pareto, routes
+from loomroute.operators import pareto, quantiles, routes
 
 from .roles import CUT, MOLECULES, PRICE_CAP, RANK_CUT, STEPS, molecules, sql, steps, table
+from .workspace import save
 
 ROUTE_CAP = 200
 
@@ -49,35 +50,39 @@ def scored(df: DataFrame) -> DataFrame:
 
 
 def representatives(pool: DataFrame, group: list[str]) -> DataFrame:
-    """The best route of each group: leaf sets once, at most ROUTE_CAP routes, front, highest composite, earliest on ties.
+    """The best route of each group: leaf sets once, the first ROUTE_CAP of them scored, front, highest composite, earliest on ties.
 
-    The cap bounds a group's array, in which the front is found without a self-join.
+    ``n_routes`` counts all leaf sets. Only the scored ones are gathered, so a group's array, in which the front is
+    found without a self-join, is bounded.
     """
     row = F.struct("stamp", "route", "p_share", "rt5_miss", "cost", "score")
     once = scored(pool).groupBy(*group, "leaf_key").agg(F.min(row).alias("r"))
-    pooled = once.groupBy(*group).agg(F.slice(F.array_sort(F.collect_list("r")), 1, ROUTE_CAP).alias("pool"))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("r.stamp", "r.route"))
+    pooled = once.withColumn("place", place).groupBy(*group).agg(F.count(F.lit(1)).alias("n_routes"), F.array_sort(F.collect_list(F.when(F.col("place") <= ROUTE_CAP, F.col("r")))).alias("pool"))
     axes = lambda x: {"p": x["p_share"], "rt": x["rt5_miss"], "c": -x["cost"]}
     front = F.filter("pool", lambda a: ~F.exists("pool", lambda b: pareto.dominates(axes(b), axes(a), "worst")))
     best = F.array_max(F.transform(front, lambda x: F.struct(x["score"], -x["stamp"], x.alias("r"))))["r"]
-    return pooled.select(*group, F.size("pool").cast("long").alias("n_routes"), best.alias("r")).select(*group, "n_routes", "r.route", "r.p_share", "r.rt5_miss", "r.cost", "r.score")
+    return pooled.select(*group, "n_routes", best.alias("r")).select(*group, "n_routes", "r.route", "r.p_share", "r.rt5_miss", "r.cost", "r.score")
 
 
 def summary(reps: DataFrame, group: list[str], n_targets, impute) -> DataFrame:
     """Per group over all N targets; unsolved ones count as 0, 0 and the price cap if imputed, else they are left out."""
+    reps = save(reps.withColumn("cents", F.round(F.col("cost") * 100).cast("long")), "representatives")
     clipped = F.log(F.greatest(F.least(F.col("cost"), F.lit(PRICE_CAP)), F.lit(1e-9)))
     n, solved = n_targets, F.count(F.lit(1))
     denominator = F.when(impute, n).otherwise(solved)
     missing = F.when(impute, (n - F.count("cost")) * F.log(F.lit(PRICE_CAP))).otherwise(F.lit(0.0))
     logs = F.when(impute, F.sum(clipped)).otherwise(F.sum(F.log("cost")))
-    return reps.groupBy(*group).agg(
+    table = reps.groupBy(*group).agg(
         solved.alias("solved"),
         F.round(100.0 * solved / n, 4).alias("success"),
         F.round(F.sum("n_routes") / denominator, 4).alias("routes"),
         F.round(F.sum("p_share") / denominator, 4).alias("plausible"),
         F.round(F.sum("rt5_miss") / denominator, 4).alias("recovered"),
         F.round(F.exp((logs + missing) / denominator), 2).alias("price"),
-        (F.median(F.round(F.col("cost") * 100).cast("long")) / 100).alias("median_price"),
     )
+    middle = quantiles.medians(reps, group, "cents").withColumn("median_price", F.col("median") / 100).drop("median")
+    return table.join(middle, group, "left")
 
 
 _POOL = (
@@ -98,7 +103,7 @@ def _reps(group: str, source: str) -> tuple[str, ...]:
         f"capped AS (SELECT *, round((p_share + rt5 + 1 - ln(1 + least(greatest(cost, 0), {PRICE_CAP})) / ln(1 + {PRICE_CAP})) / 3, 9) AS score FROM deduped WHERE k2 <= {ROUTE_CAP})",
         f"""front AS (SELECT * FROM capped a WHERE NOT EXISTS (SELECT 1 FROM capped b WHERE {same} AND b.p_share >= a.p_share AND b.rt5 >= a.rt5 AND b.cost <= a.cost
        AND (b.p_share > a.p_share OR b.rt5 > a.rt5 OR b.cost < a.cost)))""",
-        f"sized AS (SELECT {group}, count(*) AS n_routes FROM capped GROUP BY {group})",
+        f"sized AS (SELECT {group}, count(*) AS n_routes FROM deduped GROUP BY {group})",
         f"reps AS (SELECT f.*, n_routes FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY score DESC, stamp) AS pick FROM front) f JOIN sized USING ({group}) WHERE pick = 1)",
     )
 
@@ -205,12 +210,10 @@ def spend_table(spark, sf):
     recorded = F.when(F.col("o_orderstatus") != "P", F.round(F.col("o_totalprice") / 1000).cast("long"))
     cost = F.max(F.coalesce(recorded, (F.col("o_orderkey") % 100).cast("long"))).alias("cost")
     calls = o.groupBy(F.col("o_orderpriority").alias("run"), F.col("o_custkey").alias("target")).agg(cost)
-    i = F.row_number().over(Window.partitionBy("run").orderBy("cost")) - 1
-    placed = calls.withColumn("i", i).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run")))
-    at = lambda k: F.max(F.when(F.col("i") == k, F.col("cost")))
-    return placed.groupBy("run").agg(
-        F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(0.9 * F.col("n"))).alias("p90"), F.max("cost").alias("most"), F.round(F.avg("cost"), 4).alias("mean")
-    )
+    calls = save(calls, "calls")
+    at = quantiles.at_positions(calls, ["run"], "cost", {"median": lambda n: F.floor(n / 2), "p90": lambda n: F.floor(0.9 * n)})
+    totals = calls.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.max("cost").alias("most"), F.round(F.avg("cost"), 4).alias("mean"))
+    return totals.join(at, "run").select("run", "n", "median", "p90", "most", "mean")
 
 
 @query(

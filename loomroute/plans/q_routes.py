@@ -184,14 +184,18 @@ def label_summary_sets(spark, sf):
     return j.groupingSets([[], ["model"], ["arm"]], "model", "arm").agg(F.grouping_id().cast("long").alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 4).alias("p")).select("model", "arm", "level", "n", "p")
 
 
-_VEC = (STEPS, _NULLED, "vec AS (SELECT n.route, any_value(s.target) AS target, min(n.p) AS a, max(n.rt) AS b, sum(n.price) AS c FROM nulled n JOIN steps s ON n.route = s.route AND n.pos = s.pos GROUP BY n.route)")
+_VEC = (STEPS, _NULLED, "vec AS (SELECT n.route, any_value(s.target) AS target, min(n.p) AS a, max(n.rt) AS b, sum(n.price) AS c FROM nulled n JOIN steps s ON n.route = s.route AND n.pos = s.pos GROUP BY n.route QUALIFY row_number() OVER (PARTITION BY any_value(s.target) ORDER BY n.route) <= 500)")
 _GROUP_AXES = {"a": "max", "b": "min", "c": "min"}
 
 
 def _vectors(spark, sf):
     s = steps(spark, sf)
     n = _nulled(spark, sf).groupBy("route").agg(F.min("p").alias("a"), F.max("rt").alias("b"), F.sum("price").alias("c"))
-    return n.join(s.groupBy("route").agg(F.min("target").alias("target")), "route")
+    return routes.extracted(n.join(s.groupBy("route").agg(F.min("target").alias("target")), "route"), ["target"], ["route"])
+
+
+_SHARED = """coalesce(y.a >= x.a - 1e-9, true) AND coalesce(y.b <= x.b + 1e-9, true) AND coalesce(y.c <= x.c + 1e-9, true)
+ AND (coalesce(y.a > x.a + 1e-9, false) OR coalesce(y.b < x.b - 1e-9, false) OR coalesce(y.c < x.c - 1e-9, false))"""
 
 
 def _front_sql(null_rule: str) -> str:
@@ -202,7 +206,7 @@ def _front_sql(null_rule: str) -> str:
         ge = "y.u >= x.u AND y.v >= x.v AND y.w >= x.w AND (y.u > x.u OR y.v > x.v OR y.w > x.w)"
     else:
         src = "vec"
-        ge = "coalesce(y.a >= x.a, true) AND coalesce(y.b <= x.b, true) AND coalesce(y.c <= x.c, true) AND (coalesce(y.a > x.a, false) OR coalesce(y.b < x.b, false) OR coalesce(y.c < x.c, false))"
+        ge = _SHARED
     return sql(*_VEC, f"src AS (SELECT * FROM {src})", f"SELECT route, target FROM src x WHERE NOT EXISTS (SELECT 1 FROM src y WHERE y.target = x.target AND {ge})")
 
 
@@ -240,8 +244,7 @@ def pareto_ranks(spark, sf):
     "dominated_by",
     sql(
         *_VEC,
-        """SELECT x.target, x.route, string_agg(CAST(y.route AS VARCHAR), ',' ORDER BY y.route) AS by_routes, count(*) AS n_by FROM vec x JOIN vec y ON y.target = x.target
- AND coalesce(y.a >= x.a, true) AND coalesce(y.b <= x.b, true) AND coalesce(y.c <= x.c, true) AND (coalesce(y.a > x.a, false) OR coalesce(y.b < x.b, false) OR coalesce(y.c < x.c, false)) GROUP BY x.target, x.route""",
+        f"SELECT x.target, x.route, string_agg(CAST(y.route AS VARCHAR), ',' ORDER BY y.route) AS by_routes, count(*) AS n_by FROM vec x JOIN vec y ON y.target = x.target AND {_SHARED} GROUP BY x.target, x.route",
     ),
 )
 def dominated_by(spark, sf):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomroute.functions import keys, smiles
-from loomroute.operators import actions, caches, claims, consensus, graph, pareto, routes
+from loomroute.operators import actions, caches, claims, consensus, corpus, graph, pareto, quantiles, routes
 from loomroute.sources import readers, schemas, writers
 
 
@@ -20,21 +20,94 @@ def test_pareto_null_rules(spark):
     assert ranks == {1: 1, 2: 1, 3: None, 4: 2}
 
 
+CANDIDATES = [
+    # product, key, backend, rank
+    ("p", "x", "A", 0), ("p", "y", "A", 1), ("p", "z", "A", 2),
+    ("p", "y", "B", 0), ("p", "x", "B", 3), ("p", "x", "B", 1),  # the better of two ranks stays
+    ("p", "w", "C", None),  # no rank counts as 0
+    ("p", None, "C", 1),  # no key is left out
+    ("q", "x", "B", 5),
+]
+
+
 def test_consensus_rules(spark):
-    rows = [("p", "x", "m1", None), ("p", "y", "m1", 0), ("p", "x", "m2", 3), ("p", "x", "m2", 1), ("q", "z", "m2", 0)]
-    c = spark.createDataFrame(rows, "product string, key string, backend string, rank int")
-    a = {(r["product"], r["key"]): r for r in consensus.aggregate(c).collect()}
-    assert a["p", "x"]["votes"] == 2 and a["p", "x"]["mrr"] == pytest.approx((1 + 0.5) / 2) and a["p", "x"]["best_rank"] == 0
-    assert consensus.rank(c, "single", 5, pinned="absent").count() == 0  # fails closed
-    assert consensus.rank(c, "vote", 0).groupBy("product").count().agg(F.max("count")).first()[0] == 1  # top_k is 1 at least
+    c = spark.createDataFrame(CANDIDATES, "product string, key string, backend string, rank int")
+
+    def order(product="p", **how):
+        return [r["key"] for r in consensus.rank(c, **how).where(F.col("product") == product).orderBy("place").collect()]
+
+    by = {r["key"]: r for r in consensus.aggregate(c).where("product = 'p'").collect()}
+    x = by["x"]
+    assert (x["votes"], x["n_backends"], x["mrr"], x["best_rank"], x["rrf"], x["plurality"], x["agreement"], x["score"]) == (2.0, 2, 0.75, 0, round(1 / 60 + 1 / 61, 6), 1.0, 0.6667, 2.75)
+    assert (by["w"]["votes"], by["w"]["best_rank"], by["z"]["mrr"]) == (1.0, 0, 0.3333)
+    assert order(backbone="vote") == ["x", "y", "w", "z"]  # x and y tie on all figures; the key decides
+    assert order(backbone="rrf") == order(backbone="union") == ["x", "y", "w", "z"]
+    # w has a first place as x and y have, but less fused rank; z has none.
+    assert order(backbone="plurality") == ["x", "y", "w", "z"]
+    assert order(backbone="single", pinned="B") == ["y", "x"] and order("q", backbone="single", pinned="A") == []
+    # Pinned rows keep the figures of all backends.
+    assert consensus.rank(c, "single", pinned="B").where("product = 'p' AND key = 'x'").first()["votes"] == 2.0
+    assert order(backbone="single", pinned="auto", priority=("C",)) == ["w"]
+    assert order(backbone="single", weights={"B": 2.0}) == ["y", "x"]
+    # A weight of 3 for C: w has 3 votes and a mean reciprocal rank of 1.
+    assert order(backbone="vote", weights={"C": 3.0}) == ["w", "x", "y", "z"]
+    # Half a first place for y; x has more fused rank than w.
+    assert order(backbone="plurality", weights={"B": 0.5}) == ["x", "w", "y", "z"]
+    assert order(backbone="vote", top_k=0) == ["x"]
     with pytest.raises(ValueError):
-        consensus.rank(c, "other")
-    gate = {r["product"]: (r["key"], r["share"], r["abstain"]) for r in consensus.agreement_gate(c, 0.9).collect()}
-    assert gate["q"] == ("z", 1.0, False)
+        consensus.rank(c, "best")
     ranked = consensus.rank(c, "vote", 5).withColumn("ok", F.lit(False))
     assert consensus.roundtrip_filter(ranked, "ok", "hard").count() == ranked.count()  # never empties a product
 
 
+def test_agreement_gate(spark):
+    c = spark.createDataFrame(CANDIDATES + [("p", "y", "D", 0)], "product string, key string, backend string, rank int")
+    ok = spark.createDataFrame([("p", b) for b in "ABCDE"] + [("q", "B"), ("r", "A")], "product string, backend string")
+    got = {r["product"]: tuple(r)[1:] for r in consensus.agreement_gate(c, 2, ok).collect()}
+    assert got == {"p": (5, "y", 2, False), "q": (1, None, 0, True), "r": (1, None, 0, True)}
+    assert not consensus.agreement_gate(c, 0, ok).where("abstained").count()
+
+
+def test_price_and_sentence_figures(spark):
+    prices = {0.005: "$0.01", 0.374: "$0.37", 1.0: "$1.0", 9.94: "$9.9", 12: "$12", 999: "$999", 1200: "$1.2k", 12_000: "$12k", 3_000_000: "$3.0M", 4_000_000: "$3.3M+"}
+    df = spark.createDataFrame([(float(p),) for p in prices], "p double")
+    assert [r[0] for r in df.select(keys.price_string(F.log("p"))).collect()] == list(prices.values())
+    scale = spark.createDataFrame([(2.5,), (7.0,), (11.5,), (20.0,), (0.0,)], "v double")
+    assert [r[0] for r in scale.select(keys.cost_string("v")).collect()] == ["$.000", "$.500", "$1.000", "$1.000", "$.000"]
+    texts = {"p is 0.374.": 1, "One. Two! Three?": 3, "": 0, "  ": 0, "No mark": 1, "a.b.c": 1, "End.\nNext": 2}
+    said = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in said.select(claims.sentence_count(F.col("t"))).collect()] == list(texts.values())
+    cut = {
+        "c7 reproduces nothing, while c5 clears the filter at 0.998": ["c7 reproduces nothing, ", " c5 clears the filter at 0.998"],
+        "c2 is cheap but c3 is better": ["c2 is cheap ", " c3 is better"],
+        "cheap but weak": ["cheap but weak"],
+        "good, but weak": ["good", " weak"],
+        "note: one -- two — three; four": ["note", "one", "two", "three;", "four"],
+    }
+    parts = spark.createDataFrame([(t,) for t in cut], "t string")
+    assert [r[0] for r in parts.select(claims.clauses(F.col("t"))).collect()] == list(cut.values())
+
+
+def test_quantiles_by_counts(spark):
+    rows = [("a", v) for v in (5, 1, 9000, 9001, 4096, 4095, None, 5)] + [("b", -3)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    at = {r["g"]: (r["low"], r["high"]) for r in quantiles.at_positions(df, ["g"], "v", {"low": lambda n: F.lit(0), "high": lambda n: n - 1}).collect()}
+    assert at == {"a": (1, 9001), "b": (-3, -3)}
+    assert {r["g"]: r["median"] for r in quantiles.medians(df, ["g"], "v").collect()} == {"a": 4095.0, "b": -3.0}
+    even = spark.createDataFrame([(i,) for i in (1, 2, 10_000, 10_001)], "v long")
+    assert quantiles.medians(even, [], "v").first()["median"] == 5001.0
+
+
+def test_split_takes_the_smallest_hashes(spark):
+    import hashlib
+
+    units = [f"u{i}" for i in range(200)]
+    df = spark.createDataFrame([(u, k) for u in units for k in range(2)], "u string, k int")
+    got = {r["u"] for r in corpus.split_share(df, "u", 0.1, seed=3).where("part = 'valid'").collect()}
+    assert got == set(sorted(units, key=lambda u: hashlib.md5(f"3:{u}".encode()).hexdigest())[:20])
+    assert corpus.split_share(df.limit(0), "u", 0.1).count() == 0
+
+
 def test_route_axes_null_policies(spark):
     s = spark.createDataFrame([(1, 1, 0.1, 1, 10.0), (1, 2, 0.01, None, None), (2, 1, 0.2, 6, 5.0)], "route long, pos long, p double, rt int, price double")
     a = {r["route"]: r for r in routes.axes(s, 0.05, 5).collect()}
@@ -88,7 +161,7 @@ def test_action_payloads(spark):
 
 def test_claims_and_templates(spark):
     df = spark.createDataFrame([("One two. Three but four;\nfive",), (None,)], "t string")
-    assert [r[0] for r in df.select(claims.clauses(F.col("t"))).collect()] == [["One two.", "Three", "four;", "five"], []]
+    assert [r[0] for r in df.select(claims.clauses(F.col("t"))).collect()] == [["One two.", "Three but four;", "five"], []]
     said = spark.createDataFrame([("k", 0.1004), ("k", 0.1006), ("z", 0.1)], "k string, v double")
     facts = spark.createDataFrame([("k", 0.1)], "k string, v double")
     assert sorted((r["k"], r["v"]) for r in claims.unsupported(said, facts, "k", "v", 5e-4).collect()) == [("k", 0.1006), ("z", 0.1)]
@@ -130,3 +203,33 @@ def test_readers_and_writers(spark, tmp_path):
     assert writers.jsonl(more, str(tmp_path / "out")) == 2
     writers.append_draws(more, base, "key", str(tmp_path / "draws"))
     assert spark.read.parquet(str(tmp_path / "draws")).count() == 1
+
+
+def _chain(spark, n):
+    return spark.createDataFrame([(i + 1, i) for i in range(n)], "child long, parent long")
+
+
+def test_deep_chains_are_whole(spark):
+    n = 80
+    edges = _chain(spark, n)
+    up = graph.ancestors(edges).collect()
+    assert len(up) == n * (n + 1) // 2 and {(r["node"], r["ancestor"], r["distance"]) for r in up} == {(i, j, i - j) for i in range(n + 1) for j in range(i)}
+    assert {r["node"]: r["depth"] for r in graph.longest_chain(edges).collect()} == {i: n - i for i in range(n + 1)}
+    assert {(r["root"], r["leaf"]) for r in graph.leaf_walk(edges).collect()} == {(i, n) for i in range(n)}
+
+
+def test_settle_and_dead_run_to_the_end(spark):
+    n = 64
+    rx = spark.createDataFrame([(i, 0, [i + 1]) for i in range(n)] + [(0, 1, [999])], "node long, reaction int, pieces array<long>")
+    last = spark.createDataFrame([(n,), (n,)], "node long")
+    assert {r["node"]: r["level"] for r in graph.settle(rx, last).collect()} == {n - i: i for i in range(n + 1)}
+    # Node 0 has another reaction that still lives.
+    assert sorted(r["node"] for r in graph.dead(rx, last).collect()) == list(range(1, n + 1))
+    assert graph.settle(rx, last.limit(0)).count() == 0 and graph.dead(rx, last.limit(0)).count() == 0
+
+
+def test_a_cycle_is_an_error(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 9)], "child long, parent long")
+    with pytest.raises(ValueError, match="cycle"):
+        graph.ancestors(edges)
+    assert graph.ancestors(edges.where("child = parent")).count() == 0
