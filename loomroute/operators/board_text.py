@@ -46,7 +46,7 @@ def candidate_line(index: Column, q: Column, rank: Column, asked: Column, prices
     """One menu line; the total cost only if every piece has a price, signals that are missing are skipped."""
     whole = F.forall(prices, lambda p: p.isNotNull()) & (F.size(prices) > 0)
     total = F.when(whole, F.aggregate(prices, F.lit(0.0), lambda a, p: a + p))
-    shown = F.when(total.isNotNull(), keys.price_string(total))
+    shown = F.when(total.isNotNull(), keys.price_string(F.log(total)))
     return F.concat_ws(" ", F.concat(F.lit("c"), index.cast("string")), F.when(q.isNotNull(), F.concat(F.lit("q"), keys.short_number(q))), keys.recovered(rank, asked), shown)
 
 

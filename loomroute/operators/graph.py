@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomroute.plans.workspace import Rounds, save
@@ -85,6 +85,32 @@ def maxmin(candidates: DataFrame, stock: DataFrame, levels: int) -> DataFrame:
     return state.select("node", "value")
 
 
+def coverable(candidates: DataFrame, stock: DataFrame, levels: int, width: int = 3) -> DataFrame:
+    """(node, covered) of nodes: whether everything that the best ``width`` candidates reach within the levels has a menu.
+
+    ``candidates``: (node, candidate, signal, pieces). Stock ends a branch, and so do the levels; a node without a
+    candidate is a gap in the recording. Coverage only falls from round to round, and rounds end when none does.
+    """
+    w = Window.partitionBy("node").orderBy(F.coalesce("signal", F.lit(0.0)).desc(), "candidate")
+    top = candidates.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= width).select("node", F.explode("pieces").alias("piece")).distinct()
+    nodes = candidates.select("node").union(candidates.select(F.explode("pieces"))).distinct()
+    held = stock.select("node").distinct().withColumn("held", F.lit(True))
+    menus = candidates.select("node").distinct().withColumn("menu", F.lit(True))
+    start = nodes.join(held, "node", "left").join(menus, "node", "left").select("node", F.coalesce("held", F.lit(False)).alias("held"), F.coalesce("menu", F.lit(False)).alias("menu"))
+    rounds = Rounds("covered")
+    state = rounds.save(start.withColumn("covered", F.lit(True)).withColumn("fell", F.lit(False)))
+    for level in range(levels):
+        lost = state.where("fell").select(F.col("node").alias("piece"))
+        hit = top.join(lost, "piece", "left_semi").select("node").distinct().withColumn("hit", F.lit(True))
+        now = state.join(hit, "node", "left")
+        gap = ~F.col("menu") if level == 0 else F.lit(False)
+        after = F.col("covered") & (F.col("held") | ~(gap | F.coalesce("hit", F.lit(False))))
+        state = rounds.save(now.select("node", "held", "menu", after.alias("covered"), (F.col("covered") & ~after).alias("fell")))
+        if state.where("fell").isEmpty():
+            break
+    return state.select("node", "covered")
+
+
 def settle(reactions: DataFrame, closed: DataFrame) -> DataFrame:
     """(node, level): nodes that close. ``reactions``: (node, reaction, pieces); a node closes when all pieces of one of its reactions have.
 
