@@ -189,7 +189,7 @@ def open_named(drafts: DataFrame, history: DataFrame, aliases: dict[str, str]) -
 
 def ending(text: Column) -> Column:
     """The last two sentences."""
-    s = F.filter(F.transform(F.split(text, SENTENCE, -1), F.trim), lambda x: x != "")
+    s = F.filter(F.transform(F.split(text, SENTENCE, -1), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(F.slice(s, F.greatest(F.size(s) - 1, F.lit(1)), 2), " ")
 
 
