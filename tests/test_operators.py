@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomroute.functions import keys, smiles
-from loomroute.operators import actions, caches, claims, consensus, corpus, graph, pareto, quantiles, routes
+from loomroute.operators import actions, and_or_board, caches, claims, consensus, corpus, graph, pareto, quantiles, routes
 from loomroute.sources import readers, schemas, writers
 
 
@@ -233,3 +233,20 @@ def test_a_cycle_is_an_error(spark):
     with pytest.raises(ValueError, match="cycle"):
         graph.ancestors(edges)
     assert graph.ancestors(edges.where("child = parent")).count() == 0
+
+
+def test_board_finds_alternatives_and_caps_routes():
+    world = {"T": (False, [["A", "S1"]]), "A": (False, [["S1"], ["S2"], ["X"]]), "X": (False, []), "S1": (True, []), "S2": (True, [])}
+    acts = [("open", {"mid": "T"}), ("rank", {"mid": "T", "order": [0]}), ("open", {"mid": "A"}), ("rank", {"mid": "A", "order": [0]}), ("rank", {"mid": "A", "order": [1]}), ("rank", {"mid": "A", "order": [1]}), ("rank", {"mid": "A", "order": [9]}), ("rank", {"mid": "A", "order": []}), ("open", {"mid": "S1"}), ("open", {"mid": "Z"})]
+    for most, routes_ in ((0, 2), (1, 1)):
+        b = and_or_board.AndOrBoard("T", world, 10, most)
+        codes = [b.act(i, verb, args) for i, (verb, args) in enumerate(acts)]
+        assert codes == [None] * 5 + ["already_tried", "unknown_candidate", "empty_order", "purchasable", "unknown_molecule"]
+        assert len(b.routes) == routes_ and b.figures()[-1]
+    # A shared piece is one node at its shallower depth; a claim may apply several steps at once.
+    shared = {"T": (False, [["A", "B"]]), "A": (False, [["B"]]), "B": (False, [["S"]]), "S": (True, [])}
+    b = and_or_board.AndOrBoard("T", shared, 2)
+    assert [b.act(1, "open", {"mid": "T"}), b.act(2, "rank", {"mid": "T", "order": [0], "take": 3}), b.act(3, "open", {"mid": "A"}), b.act(4, "open", {"mid": "B"})] == [None, None, None, "budget"]
+    assert b.act(5, "done", {"choices": {"T": 0, "A": 0, "B": 0}}) == "not_on_screen" and b.act(6, "rank", {"mid": "A", "order": [0]}) is None
+    assert b.nodes["B"].depth == 1 and b.act(7, "dead", {"mid": "B", "reason": "tired"}) == "unknown_reason"
+    assert b.act(8, "dead", {"mid": "B", "reason": "floor"}) is None and b.steps[0].status == "failed" and b.act(9, "rank", {"mid": "B"}) == "bad_arguments"
