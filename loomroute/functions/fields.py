@@ -86,7 +86,7 @@ def split_shape(scaffold: Column, heavy: Column, rings: Column, pieces: Column)
     """What a cut does: pieces are structs (scaffold, heavy, rings). Null without any piece."""
     sizes = F.transform(pieces, lambda p: F.coalesce(p["heavy"], F.lit(0)))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    ratio = F.when(F.size(sizes) > 1, F.round(F.array_min(sizes) / F.greatest(F.array_max(sizes), F.lit(1)), 2)).otherwise(0.0)
+    ratio = F.when(F.size(sizes) > 1, F.floor(F.array_min(sizes) / F.greatest(F.array_max(sizes), F.lit(1)) * 100 + 0.5) / 100).otherwise(0.0)
     kept = scaffold.isNotNull() & F.exists(pieces, lambda p: p["scaffold"].eqNullSafe(scaffold))
     out = F.struct(
         kept.alias("scaffold_kept"), rings.alias("rings_product"), total(F.transform(pieces, lambda p: F.coalesce(p["rings"], F.lit(0)))).alias("rings_precursors"),

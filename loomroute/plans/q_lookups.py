@@ -66,7 +66,7 @@ def step_families(spark, sf):
     "split_shapes",
     """WITH p AS (SELECT l_orderkey AS route, CASE WHEN l_suppkey % 4 > 0 THEN 's' || l_suppkey % 4 END AS scaffold, CAST(l_quantity AS BIGINT) AS heavy, CAST(l_linenumber AS BIGINT) AS rings FROM lineitem),
 g AS (SELECT route, bool_or(scaffold = 's' || route % 4) AS kept, sum(heavy) AS hs, sum(rings) AS rs, min(heavy) AS lo, max(heavy) AS hi, count(*) AS n, string_agg(CAST(heavy AS VARCHAR), ',' ORDER BY heavy DESC) AS f FROM p GROUP BY route)
-SELECT route, route % 4 > 0 AND coalesce(kept, false) AS scaffold_kept, CAST(rs AS BIGINT) AS rings_precursors, CAST(100 - hs AS BIGINT) AS heavy_balance, f AS fragments, CASE WHEN n > 1 THEN round(lo / CAST(greatest(hi, 1) AS DOUBLE), 2) ELSE 0.0 END AS size_ratio FROM g""",
+SELECT route, route % 4 > 0 AND coalesce(kept, false) AS scaffold_kept, CAST(rs AS BIGINT) AS rings_precursors, CAST(100 - hs AS BIGINT) AS heavy_balance, f AS fragments, CASE WHEN n > 1 THEN floor(lo / CAST(greatest(hi, 1) AS DOUBLE) * 100 + 0.5) / 100 ELSE 0.0 END AS size_ratio FROM g""",
 )
 def split_shapes(spark, sf):
     """What each cut does to skeleton, rings and sizes."""
