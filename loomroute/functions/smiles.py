@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 has_library = importlib.util.find_spec("rdkit") is not None
 
 #: One token of a SMILES string: a bracket atom, a two-letter or one-letter atom, a bond, branch, ring or dot.
-TOKEN = r"\[[^\]]+\]|Br|Cl|[BCNOPSFI]|[bcnops]|%\d{2}|[0-9]|[()=#\-+\\/:~.@*$]"
+TOKEN = r"\[[^\]]+\]|Br|Cl|[BCNOPSFI]|[bcnops]|%\d{2}|[0-9]|[()=#\-+\\/:~.@*$>?]"
 _ATOM = r"\[[^\]]+\]|Br|Cl|[BCNOPSFI]|[bcnops]"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomroute.functions import keys
@@ -56,10 +56,10 @@ def aligned_arrays(messages: DataFrame, episode: str, order: str, tokens: str, s
     ``labels`` holds the next token where its message is supervised, else -100; ``spans`` numbers the supervised
     messages of an episode from 0 (-1 elsewhere). All arrays are one shorter than the token stream.
     """
-    part = F.struct(F.col(order).alias("at"), F.col(tokens).alias("t"), F.col(supervised).alias("s"))
-    g = messages.groupBy(episode).agg(F.array_sort(F.collect_list(part)).alias("m"))
-    numbered = F.transform("m", lambda x, i: F.struct(x["t"].alias("t"), x["s"].alias("s"), F.size(F.filter(F.slice("m", F.lit(1), i), lambda y: y["s"])).alias("n")))
-    g = g.withColumn("m", numbered)
+    own = Window.partitionBy(episode).orderBy(order, tokens, supervised).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col(supervised).cast("int")).over(own), F.lit(0)).cast("int")
+    part = F.struct(F.col(order).alias("at"), F.col(tokens).alias("t"), F.col(supervised).alias("s"), F.col("_before").alias("n"))
+    g = messages.withColumn("_before", before).groupBy(episode).agg(F.array_sort(F.collect_list(part)).alias("m"))
     flat = lambda value: F.flatten(F.transform("m", value))
     ids = flat(lambda x: x["t"])
     labels = flat(lambda x: F.transform(x["t"], lambda t: F.when(x["s"], t).otherwise(F.lit(-100))))

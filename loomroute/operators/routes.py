@@ -9,6 +9,8 @@ from loomroute.functions.keys import log_utility
 
 #: Routes that extraction hands on for a target (fixed value).
 EXTRACTED = 500
+#: Orders of a target's runs that are tried (fixed value).
+DRAWS = 20
 
 
 def axes(steps: DataFrame, cut: float, rank_cut: int) -> DataFrame:
@@ -62,6 +64,27 @@ def pool(instances: DataFrame, key: str) -> DataFrame:
     return instances.groupBy("target", key).agg(F.min("rank").alias("first_rank"), F.array_sort(F.collect_set("source")).alias("sources"), F.count(F.lit(1)).alias("n_instances"))
 
 
+def end_to_end(found: DataFrame, spend: DataFrame, budget: float, draws: int = DRAWS) -> DataFrame:
+    """(target, draw, n_routes): independent runs of a target laid one after the other on one budget axis.
+
+    ``found`` (target, run, route, found_at) are stamps within a run, ``spend`` (target, run, cost) what each run used;
+    a run without an entry used its last stamp, and a run that found nothing still used its cost. The order of the
+    runs is arbitrary, so ``draws`` orders (by hash) are tried and the one of middle size counts, the smaller draw on
+    ties. A target with one run is cut by its own stamps. Targets without a route within the budget have no row.
+    """
+    last = found.groupBy("target", "run").agg(F.max("found_at").cast("double").alias("last"))
+    runs = last.join(spend.select("target", "run", F.col("cost").cast("double").alias("cost")), ["target", "run"], "full")
+    runs = runs.withColumn("cost", F.coalesce("cost", "last", F.lit(0.0))).withColumn("n_runs", F.count(F.lit(1)).over(Window.partitionBy("target")))
+    tried = runs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.when(F.col("n_runs") > 1, draws - 1).otherwise(0))))
+    shuffled = F.md5(F.concat_ws(":", F.col("target").cast("string"), F.col("run").cast("string"), F.col("draw").cast("string")))
+    before = Window.partitionBy("target", "draw").orderBy(shuffled, "run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tried.withColumn("start", F.coalesce(F.sum("cost").over(before), F.lit(0.0))).select("target", "run", "draw", "n_runs", "start")
+    within = starts.join(found, ["target", "run"], "left").groupBy("target", "draw", "n_runs").agg(F.count_if(F.col("start") + F.col("found_at") <= budget).alias("n_routes"))
+    place = F.row_number().over(Window.partitionBy("target").orderBy("n_routes", "draw"))
+    middle = within.withColumn("place", place).where((F.col("place") == F.when(F.col("n_runs") > 1, draws // 2 + 1).otherwise(1)) & (F.col("n_routes") > 0))
+    return middle.select("target", F.col("draw").cast("long").alias("draw"), "n_routes")
+
+
 def gold_prefix(sets: DataFrame, gold: DataFrame) -> DataFrame:
     """(target, route, gold_prefix): largest share of a gold route's steps that the route has. Both have (target, route, keys)."""
     g = gold.select("target", F.col("route").alias("gold_route"), F.col("keys").alias("gold_keys"))

@@ -42,16 +42,24 @@ def batches(requests: DataFrame, queue: str, at: str, order: str, size: int = 16
     return runs.mapInPandas(run, f"`{queue}` {kinds[queue]}, `{order}` {kinds[order]}, batch long")
 
 
-def stream_batches(requests: DataFrame, queue: str, order: str, size: int = 16, seconds: float = 1.0) -> DataFrame:
-    """The same on a stream of (queue, order, _t); the open batch is kept as state."""
+def stream_batches(requests: DataFrame, queue: str, order: str, size: int = 16, seconds: float = 1.0, idle: int | None = None) -> DataFrame:
+    """The same on a stream of (queue, order, _t); the open batch is kept as state.
+
+    With ``idle``, a queue without a request for so many milliseconds is forgotten and its batches begin at 0 again.
+    """
     kinds = dict(requests.dtypes)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pool = pd.concat(list(parts)).sort_values(["_t", order])
         number, first, used = state.get if state.exists else (-1, 0.0, 0)
         found, number, first, used = assign(pool["_t"].tolist(), size, seconds, number, first, used)
         state.update((number, first, used))
+        if idle:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame({queue: pool[queue], order: pool[order], "batch": found})
 
     schema = f"`{queue}` {kinds[queue]}, `{order}` {kinds[order]}, batch long"
-    return requests.groupBy(queue).applyInPandasWithState(run, schema, "number long, first double, used long", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy(queue).applyInPandasWithState(run, schema, "number long, first double, used long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
