@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomroute.functions.fields import loose
+from loomroute.functions.keys import price_string, short_number
+
 # Phrases that make a claim.
 WEAK_PURCHASE = r"(?i)\b(purchasable|buyable|commercial|off the shelf|already banked)\b"
 STRONG_PURCHASE = (
@@ -209,3 +212,73 @@ def stock_close(turns: DataFrame, least_turns: int = 6, least_words: int = 5, sh
     hits = shared.join(size, ["episode", "turn"]).where(F.col("m") >= share * F.col("size")).groupBy("episode", "turn").agg(F.count(F.lit(1)).alias("hits"))
     out = hits.join(placed, ["episode", "turn"]).where((F.col("before") >= least_turns) & (F.col("hits") >= F.greatest(F.lit(4), F.floor(F.col("before") / 2))))
     return out.select("episode", "turn", "hits", F.col("before").cast("long").alias("before"))
+
+
+def target_phrases(phrases: DataFrame, target_words: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(episode, turn, code, detail): phrases for the target (episode, turn, phrase) over an episode.
+
+    A phrase is accepted if it names no word of the vocabulary that the target lacks (episode, word). The first
+    accepted one is the episode's; every later phrase must be the same, white space, case and a last stop aside.
+    """
+    held = target_words.groupBy("episode").agg(F.collect_set("word").alias("held"))
+    p = phrases.where("phrase <> ''").join(held, "episode", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
+    p = p.withColumn("wrong", F.array_except(spoken(F.col("phrase"), vocabulary, plural=True), "held")).withColumn("form", loose(F.col("phrase")))
+    before = Window.partitionBy("episode").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("own", F.first(F.when(F.size("wrong") == 0, F.col("form")), ignorenulls=True).over(before))
+    wrong = p.where("own IS NULL").select("episode", "turn", F.lit("target_identity").alias("code"), F.explode(F.array_sort("wrong")).alias("detail"))
+    return wrong.unionByName(p.where("own IS NOT NULL AND form <> own").select("episode", "turn", F.lit("target_drift").alias("code"), F.col("own").alias("detail")))
+
+
+def delta_words(pieces: DataFrame, targets: DataFrame) -> DataFrame:
+    """(turn, only, both): words (turn, word) of the pieces that the target lacks, and words that both have, sorted."""
+    a = pieces.groupBy("turn").agg(F.collect_set("word").alias("a"))
+    b = targets.groupBy("turn").agg(F.collect_set("word").alias("b"))
+    j = a.join(b, "turn", "left").withColumn("b", F.coalesce("b", F.array().cast("array<string>")))
+    return j.select("turn", F.array_sort(F.array_except("a", "b")).alias("only"), F.array_sort(F.array_intersect("a", "b")).alias("both"))
+
+
+def delta_absent(drafts: DataFrame, pieces: DataFrame, targets: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Groups named as missing in the target that neither the turn's pieces nor the target have; silent without pieces."""
+    held = pieces.select("turn", "word").unionByName(targets.select("turn", "word")).groupBy("turn").agg(F.collect_set("word").alias("held"))
+    judged = drafts.join(pieces.select("turn").distinct(), "turn", "left_semi").join(held, "turn")
+    return judged.select("turn", F.explode(F.array_except(spoken(F.col("text"), vocabulary, plural=True), "held")).alias("word")).select(*_row("delta_absent", F.col("word")))
+
+
+def printed_prices(pieces: DataFrame) -> DataFrame:
+    """(turn, shown): every price that a turn prints: of pieces (turn, cand, ln_price), and of candidates whose pieces all have one."""
+    one = pieces.where("ln_price IS NOT NULL").select("turn", price_string("ln_price").alias("shown"))
+    whole = pieces.groupBy("turn", "cand").agg(F.when(F.count("ln_price") == F.count(F.lit(1)), F.log(F.sum(F.exp("ln_price")))).alias("total")).where("total IS NOT NULL")
+    return one.unionByName(whole.select("turn", price_string("total").alias("shown"))).distinct()
+
+
+def episode_turns(messages: DataFrame) -> DataFrame:
+    """(episode, turn, env, call, reason): turns of an episode's messages (episode, i, role, recipient, supervised, content).
+
+    A user or tool message opens a turn. An unsupervised call is a refused one: it and the tool's reply to it belong to
+    the turn that is open, and the reply is its reason. The last supervised call of a turn is its call; turns without
+    one are left out.
+    """
+    own = Window.partitionBy("episode").orderBy("i")
+    called = (F.col("role") == "assistant") & F.col("recipient").isNotNull()
+    refused = called & (F.col("supervised") == F.lit(False))
+    m = messages.withColumn("refused", refused)
+    # A tool message answers a refused call if that was the message before it.
+    m = m.withColumn("answers", (F.col("role") == "tool") & F.coalesce(F.lag("refused").over(own), F.lit(False)))
+    opens = F.col("role").isin("user", "tool") & ~F.col("answers")
+    m = m.withColumn("opens", opens).withColumn("turn", F.sum(opens.cast("int")).over(own)).where("turn > 0")
+    g = m.groupBy("episode", "turn").agg(
+        F.max(F.when(F.col("opens"), F.col("content"))).alias("env"), F.max_by(F.when(called & ~F.col("refused"), F.col("content")), F.when(called & ~F.col("refused"), F.col("i"))).alias("call"), F.max_by(F.when(F.col("answers"), F.col("content")), F.when(F.col("answers"), F.col("i"))).alias("reason")
+    )
+    return g.where("call IS NOT NULL")
+
+
+def route_line(n_steps: Column, weakest: Column, weakest_at: Column, n_back: Column, n_asked: Column, worst: Column, n_leaves: Column, ln_cost: Column) -> Column:
+    """A route's figures in one line: weakest plausibility, recovered steps, leaves and cost."""
+    return F.concat_ws(
+        " · ",
+        F.concat(n_steps.cast("string"), F.lit(" steps")),
+        F.when(weakest.isNotNull(), F.concat(F.lit("weakest p"), short_number(weakest), F.lit(" at r"), weakest_at.cast("string"))),
+        F.when(n_asked > 0, F.concat(F.lit("rt "), n_back.cast("string"), F.lit("/"), n_asked.cast("string"), F.lit(" back"), F.when(n_back > 0, F.concat(F.lit(", worst "), worst.cast("string"))).otherwise(""))),
+        F.concat(n_leaves.cast("string"), F.lit(" leaves")),
+        F.when(ln_cost.isNull(), F.lit("$?")).otherwise(price_string(ln_cost)),
+    )

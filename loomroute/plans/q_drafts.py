@@ -225,3 +225,91 @@ def draft_stock_close(spark, sf):
     """Formula endings. Of the three endings the first two share all of their long words but one in eleven."""
     t = table(spark, sf, "orders").select(F.col("o_custkey").alias("episode"), F.col("o_orderkey").alias("turn"), F.expr(_END).alias("text"))
     return rules.stock_close(t)
+
+
+_PHRASE = _case("o_orderkey % 4", ["The furan ester.", "the  Furan ester", "a thiazole amide", "another furan"])
+
+
+@query(
+    "draft_target_phrases",
+    """WITH p AS (SELECT o_custkey AS episode, o_orderkey AS turn, o_orderkey % 4 AS k, o_custkey % 2 AS has FROM orders),
+f AS (SELECT *, CASE k WHEN 2 THEN 'a thiazole amide' WHEN 3 THEN 'another furan' ELSE 'the furan ester' END AS form, has = 1 AND k <> 2 AS ok, CASE WHEN k = 2 THEN 'thiazole' ELSE 'furan' END AS word FROM p),
+a AS (SELECT f.*, (SELECT arg_min(g.form, g.turn) FROM f g WHERE g.episode = f.episode AND g.turn < f.turn AND g.ok) AS own FROM f)
+SELECT episode, turn, 'target_identity' AS code, word AS detail FROM a WHERE own IS NULL AND NOT ok UNION ALL SELECT episode, turn, 'target_drift', own FROM a WHERE own IS NOT NULL AND form <> own""",
+)
+def draft_target_phrases(spark, sf):
+    """The phrase for an episode's target: nothing that the target lacks, and the same once one was accepted."""
+    o = table(spark, sf, "orders")
+    phrases = o.select(F.col("o_custkey").alias("episode"), F.col("o_orderkey").alias("turn"), F.expr(_PHRASE).alias("phrase"))
+    words = o.where("o_custkey % 2 = 1").select(F.col("o_custkey").alias("episode"), F.lit("furan").alias("word")).distinct()
+    return rules.target_phrases(phrases, words, ["furan", "thiazole"])
+
+
+_PIECE_WORDS = "p AS (SELECT DISTINCT l_orderkey AS turn, CASE l_partkey % 3 WHEN 0 THEN 'amide' WHEN 1 THEN 'furan' ELSE 'ester' END AS word FROM lineitem WHERE l_linenumber <= 3), t AS (SELECT o_orderkey AS turn, CASE o_custkey % 3 WHEN 0 THEN 'amide' WHEN 1 THEN 'furan' ELSE 'lactone' END AS word FROM orders)"
+
+
+def _piece_words(spark, sf):
+    p = table(spark, sf, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("turn"), F.expr("CASE l_partkey % 3 WHEN 0 THEN 'amide' WHEN 1 THEN 'furan' ELSE 'ester' END").alias("word"))
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("turn"), F.expr("CASE o_custkey % 3 WHEN 0 THEN 'amide' WHEN 1 THEN 'furan' ELSE 'lactone' END").alias("word"))
+    return p, t
+
+
+@query("delta_words", f"WITH {_PIECE_WORDS} SELECT p.turn, coalesce(string_agg(p.word, ',' ORDER BY p.word) FILTER (t.word IS NULL), '') AS only_here, coalesce(string_agg(p.word, ',' ORDER BY p.word) FILTER (t.word IS NOT NULL), '') AS both FROM p LEFT JOIN t ON t.turn = p.turn AND t.word = p.word GROUP BY p.turn")
+def delta_words(spark, sf):
+    """Groups of the pieces that the target lacks, and those that both have."""
+    return rules.delta_words(*_piece_words(spark, sf)).select("turn", F.array_join("only", ",").alias("only_here"), F.array_join("both", ",").alias("both"))
+
+
+@query("draft_delta", f"WITH {_PIECE_WORDS}, s AS (SELECT turn, unnest(['ester', 'lactone']) AS word FROM t WHERE turn IN (SELECT turn FROM p)) SELECT turn, 'delta_absent' AS code, word AS detail FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.turn = s.turn AND p.word = s.word) AND NOT EXISTS (SELECT 1 FROM t WHERE t.turn = s.turn AND t.word = s.word)")
+def draft_delta(spark, sf):
+    p, t = _piece_words(spark, sf)
+    d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("turn"), F.lit("not in the target: the esters, a lactone").alias("text"))
+    return rules.delta_absent(d, p, t, ["amide", "furan", "ester", "lactone"])
+
+
+_SHOWN = "CASE WHEN d >= 10000 THEN printf('$%.0fk', d / 1000) WHEN d >= 1000 THEN printf('$%.1fk', d / 1000) ELSE printf('$%.0f', d) END"
+
+
+@query(
+    "printed_prices",
+    f"WITH p AS (SELECT l_orderkey AS turn, l_linenumber % 3 AS cand, CASE WHEN l_suppkey % 5 > 0 THEN l_extendedprice END AS d FROM lineitem), w AS (SELECT turn, cand, sum(d) AS d FROM p GROUP BY turn, cand HAVING count(d) = count(*)) SELECT DISTINCT turn, {_SHOWN} AS shown FROM (SELECT turn, d FROM p WHERE d IS NOT NULL UNION ALL SELECT turn, d FROM w)",
+)
+def printed_prices(spark, sf):
+    """All price strings of a turn's screen."""
+    p = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("turn"), (F.col("l_linenumber") % 3).alias("cand"), F.when(F.col("l_suppkey") % 5 > 0, F.log("l_extendedprice")).alias("ln_price"))
+    return rules.printed_prices(p)
+
+
+@query(
+    "episode_turns",
+    """WITH e AS (SELECT c_custkey AS episode, c_custkey % 2 AS k FROM customer)
+SELECT episode, 1 AS turn, 'board one' AS env, 'open' AS call, CASE WHEN k = 1 THEN 'no such molecule' END AS reason FROM e UNION ALL SELECT episode, 2, 'board two', 'rank again', NULL FROM e""",
+)
+def episode_turns(spark, sf):
+    """Messages become turns: refused calls and their replies stay in the turn, the last accepted call counts, a turn without one goes."""
+    k = F.col("k") == 1
+
+    def msg(role, content, recipient=None, supervised=None, when=None):
+        m = F.struct(F.lit(role).alias("role"), F.lit(recipient).cast("string").alias("recipient"), F.lit(supervised).cast("boolean").alias("supervised"), F.lit(content).alias("content"))
+        return m if when is None else F.when(when, m)
+
+    rows = F.array_compact(F.array(
+        msg("developer", "rules"), msg("user", "board one"), msg("assistant", "open zz", "tool", False, k), msg("tool", "no such molecule", None, None, k), msg("assistant", "open", "tool", True),
+        msg("tool", "board two"), msg("assistant", "rank", "tool", True), msg("assistant", "rank again", "tool", True), msg("tool", "board three"), msg("assistant", "thinking"),
+    ))
+    e = table(spark, sf, "customer").select(F.col("c_custkey").alias("episode"), (F.col("c_custkey") % 2).alias("k"))
+    return rules.episode_turns(e.select("episode", F.posexplode(rows).alias("i", "m")).select("episode", "i", "m.*")).select("episode", F.col("turn").cast("int").alias("turn"), "env", "call", "reason")
+
+
+@query(
+    "route_lines",
+    """WITH s AS (SELECT l_orderkey AS route, l_linenumber AS n, l_discount AS p, CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey % 5 + 1 END AS rt, l_extendedprice AS d FROM lineitem),
+g AS (SELECT route, count(*) AS n, min(p) AS w, arg_min(n, (p, n)) AS at_, count(rt) AS back, max(rt) AS worst, sum(d) AS d FROM s GROUP BY route)
+SELECT route, n || ' steps · weakest p' || regexp_replace(printf('%.3f', w), '^0', '') || ' at r' || at_ || ' · rt ' || back || '/' || n || ' back' || CASE WHEN back > 0 THEN ', worst ' || worst ELSE '' END || ' · ' || n || ' leaves · ' || """ + _SHOWN + """ AS line FROM g""",
+)
+def route_lines(spark, sf):
+    """One line of figures for each route."""
+    s = table(spark, sf, "lineitem").withColumn("rt", F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey") % 5 + 1))
+    g = s.groupBy(F.col("l_orderkey").alias("route")).agg(F.count(F.lit(1)).alias("n"), F.min("l_discount").alias("w"), F.min_by("l_linenumber", F.struct("l_discount", "l_linenumber")).alias("at"), F.count("rt").alias("back"), F.max("rt").alias("worst"), F.log(F.sum("l_extendedprice")).alias("cost"))
+    c = F.col
+    return g.select("route", rules.route_line(c("n"), c("w"), c("at"), c("back"), c("n"), c("worst"), c("n"), c("cost")).alias("line"))
