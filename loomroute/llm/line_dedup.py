@@ -13,6 +13,7 @@ Plan: one scan explodes the lines with their positions and writes (document, pos
 are long enough. Documents per hash are counted in two steps, first per (hash, document), so a line found
 everywhere is spread over all tasks and costs one partial sum per task. Lines of dropped keys give each document
 the positions that it loses; the text is reassembled from the positions left, in time linear in its lines.
+Texts stay where they are read while the documents that lose a line are few enough to be broadcast.
 """
 
 from __future__ import annotations
@@ -58,7 +59,8 @@ def lost_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with ``text`` reassembled, plus ``_n_lines`` and ``_n_dropped`` (replaced if present)."""
     at, ta, tb, lost, kept = (free_name(docs, x) for x in ("_lost_id", "_lost_a", "_lost_b", "_lost", "_places"))
-    found = lost_positions(docs, min_chars, min_docs).toDF(at, ta, tb, lost)
+    found = save(lost_positions(docs, min_chars, min_docs), "lost").toDF(at, ta, tb, lost)
+    found = checked_broadcast(found, found.count())  # beyond the limit texts are shuffled by document
     same = [a.eqNullSafe(F.col(b)) for a, b in zip((docs["doc_id"], F.xxhash64(docs["text"]), F.xxhash64(F.lit("text"), docs["text"])), (at, ta, tb))]
     joined = docs.join(found, same, "left")
     lines = _lines(F.col("text"))

@@ -1,9 +1,9 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index holds one posting (term, document, position) for every training token that some test item uses.
-It is sharded by document (a bucketed table): all lists of a document lie in one shard, so lists are
-intersected inside the shard without moving postings. Within a shard postings are sorted by term, so a
-term's list is one run. Queries are phrases: offset-adjusted lists (position minus the term's offset in the
+It is sharded by document: the task that reads a document writes all of its postings to one file, sorted by term,
+so texts are never moved, a document's lists lie in one shard and a term's list in a shard is one run. Queries
+are phrases: offset-adjusted lists (position minus the term's offset in the
 phrase) are intersected from the rarest terms of the phrase; what is left is intersected with the lists of
 the remaining terms, so a match is exact. ``proximity`` finds all terms of a query within a span.
 
@@ -19,13 +19,12 @@ match; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomroute.plans.workspace import BROADCAST_ROWS, checked_broadcast, new_folder, save, shuffle_width
+from loomroute.plans.workspace import checked_broadcast, new_folder, save, scratch
 
 from .text import padded_words
 
@@ -38,7 +37,7 @@ SEED_GROWTH = 30
 
 @dataclass
 class PositionalIndex:
-    """postings: (row, term, pos), sharded by row. documents: (row, doc_id, n_words), one per document row."""
+    """postings: (row, term, pos), a row number's postings in one file. documents: (row, doc_id, n_words), one per document row."""
 
     postings: DataFrame
     documents: DataFrame
@@ -50,32 +49,25 @@ def query_terms(items: DataFrame) -> DataFrame:
     return items.select(word.alias("w")).where(F.col("w") != "").select(F.xxhash64("w").alias("term")).distinct()
 
 
-def build(docs: DataFrame, terms: DataFrame, shards: int | None = None) -> PositionalIndex:
+def build(docs: DataFrame, terms: DataFrame) -> PositionalIndex:
     """Index ``docs`` (doc_id, text) for the words whose ids are in ``terms`` (column term).
 
-    The empty word that ends each padded text is the end posting; its position gives the document's length.
+    The empty word that ends each padded text is the end posting; its position gives the document's length. Rows are
+    numbered in the job that writes the postings, so the numbers are the same at every read.
     """
     spark = docs.sparkSession
-    n = shards or shuffle_width(spark)
-    end = spark.range(1).select(F.xxhash64(F.lit("")).alias("term"))
-    wanted = save(terms.unionByName(end), "terms")
-    n_wanted = wanted.count()
+    ends = F.xxhash64(F.lit(""))
+    wanted = save(terms.unionByName(spark.range(1).select(ends.alias("term"))), "terms")
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    if n_wanted <= BROADCAST_ROWS:  # the texts are dealt out once, and the postings stay where they are made
-        rows = rows.repartition(n, "row")
-    words = rows.select("row", "doc_id", F.posexplode(padded_words(F.col("text"))).alias("pos", "w"))
-    words = words.select("row", "doc_id", F.xxhash64("w").alias("term"), (F.col("w") == "").alias("mark"), "pos").where(~F.col("mark") | (F.col("pos") > 0))
-    postings = words.join(checked_broadcast(wanted, n_wanted), "term").select("row", "doc_id", "term", "pos")
-    if n_wanted > BROADCAST_ROWS:  # a shuffle join dealt them by term
-        postings = postings.repartition(n, "row")
-    name = f"loomroute_index_{uuid.uuid4().hex}"
-    postings.write.bucketBy(n, "row").sortBy("term").option("path", new_folder(spark, name)).saveAsTable(name)
-    table = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files at the path stay as long as other work tables
-    is_end = F.col("term") == F.xxhash64(F.lit(""))
+    words = rows.select("row", "doc_id", F.posexplode(padded_words(F.col("text"))).alias("pos", "w")).where((F.col("w") != "") | (F.col("pos") > 0))
+    words = words.select("row", F.when(F.col("w") == "", F.col("doc_id")).alias("doc_id"), F.xxhash64("w").alias("term"), "pos")
+    postings = words.join(checked_broadcast(wanted, wanted.count()), "term").withColumn("is_end", F.col("term") == ends)
+    path = new_folder(spark, "postings")
+    postings.select("row", "doc_id", "term", "pos", "is_end").sortWithinPartitions("is_end", "term").write.partitionBy("is_end").parquet(path)
+    table = spark.read.schema(postings.select("row", "doc_id", "term", "pos", "is_end").schema).parquet(path)
     return PositionalIndex(
-        postings=table.where(~is_end).select("row", "term", "pos"),
-        documents=table.where(is_end).select("row", "doc_id", (F.col("pos") - 1).cast("long").alias("n_words")),
+        postings=table.where(~F.col("is_end")).select("row", "term", "pos"),
+        documents=save(table.where("is_end").select("row", "doc_id", (F.col("pos") - 1).cast("long").alias("n_words")), "documents"),
     )
 
 
@@ -101,7 +93,7 @@ def match_phrases(index: PositionalIndex, phrases: DataFrame) -> DataFrame:
     ranked = save(ranked.select("wid", "length", "at", "term", seed.alias("seed")), "ranked")
     seeds = ranked.where("seed").withColumn("seeds", F.count(F.lit(1)).over(Window.partitionBy("wid"))).select("wid", "length", "at", "term", "seeds")
     n_slots = ranked.count()
-    # Lists of the rarest terms, shifted by their offsets, meet inside the shard: row alone decides the partition.
+    # Lists of the rarest terms, shifted by their offsets, meet inside the shard; what is dealt out is counted there first.
     meet = index.postings.join(checked_broadcast(seeds, n_slots), "term").select("row", "wid", (F.col("pos") - F.col("at")).alias("start"), "length", "seeds")
     found = meet.groupBy("row", "wid", "start", "length", "seeds").agg(F.count(F.lit(1)).alias("n")).where("n = seeds")
     found = save(found.select("row", "wid", "start", "length", "seeds"), "candidates")
@@ -137,15 +129,17 @@ def match_proximity(index: PositionalIndex, queries: DataFrame, span: int) -> Da
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per document row: doc_id, row, n_words, n_hit (words inside an occurrence), items (sorted as strings)."""
-    found_windows = save(windows(items, width), "windows")
-    index = build(docs, query_terms(items))
-    hits = save(match_phrases(index, found_windows.select("wid", "terms").distinct()), "hits")
+    with scratch(docs.sparkSession, keep=("windows", "hits", "documents")):
+        found_windows = save(windows(items, width), "windows")
+        index = build(docs, query_terms(items))
+        hits = save(match_phrases(index, found_windows.select("wid", "terms").distinct()), "hits")
+        n_windows = found_windows.count()
     # Union of the hit intervals: each start adds what lies beyond the furthest end so far.
     before = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     spans = hits.groupBy("row", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
     spans = spans.withColumn("from", F.greatest("start", F.coalesce(F.max("end").over(before), F.col("start"))))
     covered = spans.groupBy("row").agg(F.sum(F.greatest(F.col("end") - F.col("from"), F.lit(0))).cast("long").alias("n_hit"))
-    pairs = hits.select("row", "wid").distinct().join(checked_broadcast(found_windows.select("wid", "item_id"), found_windows.count()), "wid")
+    pairs = hits.select("row", "wid").distinct().join(checked_broadcast(found_windows.select("wid", "item_id"), n_windows), "wid")
     listed = pairs.groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     out = index.documents.join(covered, "row", "left").join(listed, "row", "left")
     return out.select("doc_id", "row", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

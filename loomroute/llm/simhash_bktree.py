@@ -28,14 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomroute.plans.workspace import checked_broadcast, save, shuffle_width
+from loomroute.plans.workspace import Rounds, checked_broadcast, save, scratch, shuffle_width
+
+from .slices import release, sliced
 
 WORDS = 4
 RADIUS = 4
 #: Members of a shard that one task takes as tree or as queries.
 BLOCK = 20_000
 #: Pairs of query and node looked at together.
-FRONTIER = 1_000_000
+FRONTIER = 250_000
 #: Distinct fingerprints up to which each (bands, bands that must agree) is used; more bands make smaller shards.
 SHARDINGS = ((2_000_000, 1), (500_000_000, 2), (None, 4))
 _CHUNK = 1 << 15
@@ -63,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.fromiter((fingerprint(t, words) for t in batch.column("text").to_pylist()), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
@@ -84,6 +86,17 @@ def _shard_masks(radius: int, agree: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one word, or of several words a row."""
+    bits = np.bitwise_count(a ^ b)
+    return (bits if bits.ndim == 1 else bits.sum(axis=1)).astype(np.int64)
+
+
+def _span(fp: np.ndarray) -> int:
+    """Distances from 0 to the number of bits: an edge's key is its parent times this plus its distance."""
+    return 64 * (1 if fp.ndim == 1 else fp.shape[1]) + 1
+
+
 def bk_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A BK-tree for each shard: root of each item, and (parent, distance) keys of the nodes in order with their items.
 
@@ -97,7 +110,7 @@ def bk_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at = root[active]
     keys, nodes = [], []
     while len(active):
-        step = at * 65 + np.bitwise_count(fp[active] ^ fp[at])
+        step = at * _span(fp) + distance(fp[active], fp[at])
         edge, heads, group = np.unique(step, return_index=True, return_inverse=True)
         keys.append(edge)
         nodes.append(active[heads])
@@ -113,27 +126,34 @@ def bk_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def bk_query(fp: np.ndarray, root: np.ndarray, key: np.ndarray, node: np.ndarray, asked: np.ndarray, asked_fp: np.ndarray, radius: int):
-    """Yield (index into asked, item) within the radius, in pieces of bounded size. ``root`` is the root of each query."""
-    stack = [(asked, root)]
+    """Yield (index into asked, item) within the radius, in pieces of bounded size. ``root`` is the root of each query.
+
+    The stack holds pairs of query and node to look at, and pairs whose edges are still to be followed; a piece whose
+    edges lead to more than ``FRONTIER`` pairs is halved before they are written out.
+    """
+    span = _span(fp)
+    stack = [(asked[i : i + FRONTIER], root[i : i + FRONTIER], None) for i in range(0, len(asked), FRONTIER)]
     while stack:
-        q, at = stack.pop()
-        if len(q) > FRONTIER:
-            half = len(q) // 2
-            stack += [(q[:half], at[:half]), (q[half:], at[half:])]
-            continue
-        far = np.bitwise_count(asked_fp[q] ^ fp[at]).astype(np.int64)
-        near = far <= radius
-        if near.any():
-            yield q[near], at[near]
-        lo = np.searchsorted(key, at * 65 + np.maximum(far - radius, 0))
-        many = np.searchsorted(key, at * 65 + np.minimum(far + radius, 64), side="right") - lo
+        q, at, many = stack.pop()
+        if many is None:
+            far = distance(asked_fp[q], fp[at])
+            near = far <= radius
+            if near.any():
+                yield q[near], at[near]
+            lo = np.searchsorted(key, at * span + np.maximum(far - radius, 0))
+            many = np.searchsorted(key, at * span + np.minimum(far + radius, span - 1), side="right") - lo
+            some = many > 0
+            q, at, many = q[some], lo[some], many[some]
         total = int(many.sum())
-        if total:
+        if total > FRONTIER and len(q) > 1:
+            half = len(q) // 2
+            stack += [(q[:half], at[:half], many[:half]), (q[half:], at[half:], many[half:])]
+        elif total:
             step = np.arange(total) - np.repeat(np.cumsum(many) - many, many)
-            stack.append((np.repeat(q, many), node[np.repeat(lo, many) + step]))
+            stack.append((np.repeat(q, many), node[np.repeat(at, many) + step], None))
 
 
-def _join(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+def join_labels(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
     """Give both ends of each link the same label; labels only fall."""
     while True:
         a, b = label[u], label[v]
@@ -171,10 +191,29 @@ def _stars(batches, radius: int):
     for q, at in bk_query(fp[tree], root_of[group[asked]], key, node, asked, fp, radius):
         other = tree[at]
         apart = q != other
-        _join(label, q[apart], other[apart])
+        join_labels(label, q[apart], other[apart])
     below = np.flatnonzero(label != np.arange(len(fp)))
     if len(below):
         yield pa.RecordBatch.from_arrays([pa.array(fp[below].view(np.int64)), pa.array(fp[label[below]].view(np.int64))], names=["u", "v"])
+    del table, held
+    release()
+
+
+def with_blocks(members: DataFrame, shard: list[str], item: str, block: int) -> DataFrame:
+    """Members with their block (own) and the pair of blocks (lo, hi) of each task that they belong to.
+
+    A shard of at most ``block`` members is one block. A larger one is cut by a hash of ``item``, and each of its
+    blocks meets each other in a task of its own.
+    """
+    hot = members.groupBy(*shard).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(*shard, F.ceil(F.col("_n") / block).cast("int").alias("blocks"))
+    hot = save(hot, "hot_shards")
+    n_hot = hot.count()
+    if n_hot:
+        members = members.join(checked_broadcast(hot, n_hot), shard, "left").fillna(1, "blocks")
+    else:
+        members = members.withColumn("blocks", F.lit(1))
+    members = members.withColumn("own", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return members.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other")
 
 
 def links(distinct: DataFrame, n_distinct: int, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -183,16 +222,7 @@ def links(distinct: DataFrame, n_distinct: int, radius: int = RADIUS, block: int
     masks = _shard_masks(radius, agree)
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("shard")) for i, m in enumerate(masks)]))
     members = distinct.select("fp", each.alias("s")).select("s.mask", "s.shard", "fp")
-    hot = members.groupBy("mask", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("mask", "shard", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    hot = save(hot, "hot_shards")
-    n_hot = hot.count()
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    if n_hot:
-        members = members.join(checked_broadcast(hot, n_hot), ["mask", "shard"], "left").fillna(1, "blocks")
-    else:
-        members = members.withColumn("blocks", F.lit(1))
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = members.select("mask", "shard", "fp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    tasks = with_blocks(members, ["mask", "shard"], "fp", block)
     width = max(shuffle_width(distinct.sparkSession), n_distinct * len(masks) // 500_000 + 1)
     return tasks.repartition(width, "mask", "shard", "lo", "hi").mapInArrow(lambda b: _stars(b, radius), "u long, v long").distinct()
 
@@ -212,24 +242,25 @@ def components(edges: DataFrame) -> DataFrame:
         kept = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return kept.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
-    state = None
-    edges = save(edges.where("u <> v"), "links")
+    state, rounds = None, Rounds("links")
+    edges = rounds.save(edges.where("u <> v"))
     while True:
         seen = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("u").cast("decimal(38,0)"))).first()
         if tuple(seen) == state or not seen[0]:
             break
         state = tuple(seen)
-        edges = save(low(low(edges, True), False), "links")
+        edges = rounds.save(low(low(edges, True), False))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, component_id) for each row; component_id is the smallest doc_id reachable over links."""
-    own = save(fingerprints(docs, words), "fingerprints")
-    distinct = save(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    edges = links(distinct, distinct.count(), radius, block)
-    labels = save(components(edges), "labels")
-    n_linked = labels.count()
+    with scratch(docs.sparkSession, keep=("fingerprints", "distinct", "labels")):
+        own = save(fingerprints(docs, words), "fingerprints")
+        distinct = save(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+        edges = links(distinct, distinct.count(), radius, block)
+        labels = save(components(edges), "labels")
+        n_linked = labels.count()
     linked = distinct.join(checked_broadcast(labels, n_linked), distinct["fp"] == labels["node"]).select("fp", "label", "first_id")
     least = linked.groupBy("label").agg(F.min("first_id").alias("component"))
     of = linked.join(least, "label").select("fp", "component")

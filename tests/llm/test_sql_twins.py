@@ -113,7 +113,7 @@ def test_positional_index_phrases_and_proximity(spark):
     got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in positional_index.contamination(docs, items, width=3).collect()), key=repr)
     assert got == sorted([(1, 9, 9, ["11", "7", "8"]), (2, 0, 0, []), (3, 3, 1, []), (3, 2, 1, []), (None, 2, 2, ["11", "7"])], key=repr)
     terms = positional_index.query_terms(items)
-    index = positional_index.build(docs, terms, shards=2)
+    index = positional_index.build(docs, terms)
     words = spark.createDataFrame([(1, ["on", "mat"]), (2, ["cat"]), (3, ["cat", "mat"])], "qid long, words array<string>")
     near = words.select("qid", F.transform("words", lambda w: F.xxhash64(w)).alias("terms"))
     named = index.documents.select("row", "doc_id")
