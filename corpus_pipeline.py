@@ -6,18 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomroute.llm import byte_bpe, jaccard, line_dedup, positional_index, ppm_language
+from loomroute.llm import byte_bpe, line_dedup, positional_index, ppm_language, simhash_similar
+from loomroute.llm.slices import bounded_batches
 from loomroute.plans.workspace import checked_broadcast, free_name, save
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The rows with a number each, the same at every read of the same files: doc_id may be null or repeat."""
-    row = free_name(docs, "_row")
-    return docs.withColumn(row, F.monotonically_increasing_id()), row
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text or without any letter go; ``lang`` becomes the predicted language."""
+    bounded_batches(spark)
     guess, score = free_name(docs, "_lang_pred"), free_name(docs, "_lang_score")
     found = ppm_language.annotate(docs, ppm_language.fit(docs), guess, score)
     return found.where(F.col(guess) != ppm_language.UNKNOWN).withColumn("lang", F.col(guess)).select(docs.columns)
@@ -30,27 +26,32 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose five-word shingles are alike by 0.8 or more (Jaccard) one document stays: the one with the smallest doc_id, once."""
-    rows, row = _numbered(docs)
-    groups = save(jaccard.groups(rows.select(F.col(row).alias("row"), "text")).withColumnRenamed("row", row), "groups")
-    many = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
-    held = save(groups.join(many, "component").join(rows.select("doc_id", row), row), "held")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first")
-    stays = held.groupBy("component").agg(first).select(F.col(f"first.{row}").alias(row))
-    gone = save(held.select(row).join(stays, row, "left_anti"), "gone")
-    return rows.join(checked_broadcast(gone, gone.count()), row, "left_anti").select(docs.columns)
+    """Of each group of texts whose five-word shingles are alike by 0.8 or more one document stays: the one with the smallest doc_id, once."""
+    bounded_batches(spark)
+    rows, row, group = simhash_similar.groups(docs)
+    stay = free_name(rows, "_stay")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row)).alias("first")
+    many = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), first).where("n > 1")
+    many = save(many.select(group, F.col(f"first.{row}").alias(stay)), "stays")
+    held = rows.join(checked_broadcast(many, many.count()), group, "left")
+    return held.where(F.col(stay).isNull() | (F.col(stay) == F.col(row))).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    rows, row = _numbered(docs)
+    """Documents that hold a window of a benchmark item go. What a document holds is known by two hashes of its text."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = positional_index.contamination(rows.select(F.col(row).alias("doc_id"), "text"), items).where("n_hit > 0")
-    return rows.join(hit.select(F.col("doc_id").alias(row)), row, "left_anti").select(docs.columns)
+    a, b = free_name(docs, "_text_a"), free_name(docs, "_text_b")
+    hashes = [F.xxhash64("text"), F.xxhash64(F.lit("text"), "text")]
+    known = docs.select(F.struct(hashes[0].alias(a), hashes[1].alias(b)).alias("doc_id"), "text")
+    hit = positional_index.contamination(known, items).where("n_hit > 0").select(f"doc_id.{a}", f"doc_id.{b}").distinct()
+    hit = save(hit, "contaminated")
+    marked = docs.withColumn(a, hashes[0]).withColumn(b, hashes[1])
+    return marked.join(checked_broadcast(hit, hit.count()), [a, b], "left_anti").select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document left, with digests of ids and decoded bytes."""
+    bounded_batches(spark)
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
