@@ -272,11 +272,11 @@ _SHOWN = "CASE WHEN d >= 10000 THEN printf('$%.0fk', d / 1000) WHEN d >= 1000 TH
 
 @query(
     "printed_prices",
-    f"WITH p AS (SELECT l_orderkey AS turn, l_linenumber % 3 AS cand, CASE WHEN l_suppkey % 5 > 0 THEN l_extendedprice END AS d FROM lineitem), w AS (SELECT turn, cand, sum(d) AS d FROM p GROUP BY turn, cand HAVING count(d) = count(*)) SELECT DISTINCT turn, {_SHOWN} AS shown FROM (SELECT turn, d FROM p WHERE d IS NOT NULL UNION ALL SELECT turn, d FROM w)",
+    f"WITH p AS (SELECT l_orderkey AS turn, l_linenumber % 3 AS cand, CASE WHEN l_suppkey % 5 > 0 THEN floor(l_extendedprice) + 0.337 END AS d FROM lineitem), w AS (SELECT turn, cand, sum(d) AS d FROM p GROUP BY turn, cand HAVING count(d) = count(*)) SELECT DISTINCT turn, {_SHOWN} AS shown FROM (SELECT turn, d FROM p WHERE d IS NOT NULL UNION ALL SELECT turn, d FROM w)",
 )
 def printed_prices(spark, sf):
     """All price strings of a turn's screen."""
-    p = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("turn"), (F.col("l_linenumber") % 3).alias("cand"), F.when(F.col("l_suppkey") % 5 > 0, F.log("l_extendedprice")).alias("ln_price"))
+    p = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("turn"), (F.col("l_linenumber") % 3).alias("cand"), F.when(F.col("l_suppkey") % 5 > 0, F.log(F.floor("l_extendedprice") + 0.337)).alias("ln_price"))
     return rules.printed_prices(p)
 
 
