@@ -250,3 +250,43 @@ def test_board_finds_alternatives_and_caps_routes():
     assert b.act(5, "done", {"choices": {"T": 0, "A": 0, "B": 0}}) == "not_on_screen" and b.act(6, "rank", {"mid": "A", "order": [0]}) is None
     assert b.nodes["B"].depth == 1 and b.act(7, "dead", {"mid": "B", "reason": "tired"}) == "unknown_reason"
     assert b.act(8, "dead", {"mid": "B", "reason": "floor"}) is None and b.steps[0].status == "failed" and b.act(9, "rank", {"mid": "B"}) == "bad_arguments"
+
+
+def test_work_tables_go_with_their_block(spark):
+    from pathlib import Path
+
+    from loomroute.plans import workspace
+
+    at = lambda df: Path(df.inputFiles()[0].removeprefix("file:").replace("//", "/")).parent
+    one = spark.range(3)
+    with workspace.scratch(spark, keep=("stays",)):
+        gone, stays = workspace.save(one, "gone"), workspace.save(one, "stays")
+        with workspace.scratch(spark):
+            inner = at(workspace.save(one, "stays"))
+        assert not inner.exists() and gone.count() == 3
+        paths = at(gone), at(stays)
+    assert not paths[0].exists() and stays.count() == 3
+    rounds = workspace.Rounds("loop")
+    first = at(rounds.save(one))
+    second = rounds.save(spark.range(5))
+    assert not first.exists() and second.count() == 5
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from loomroute.plans import workspace
+
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)), master="local-cluster[3,2,1024]")
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=context)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        workspace.shared_dir(session)
+
+
+def test_the_entry_point_survives_a_missing_package():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['loomroute.llm'] = None; import __spark_entry__ as e; assert e.llm is None and len(e.queries()) > 200 and 'op1_chat_format' not in e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=str(__import__("pathlib").Path(__file__).parent.parent), timeout=120)
