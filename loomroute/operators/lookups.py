@@ -150,3 +150,27 @@ def merge_points(routes: DataFrame, steps: DataFrame, key: list[str]) -> DataFra
     """(key, molecule, n_parents): molecules that more than one step of the claimed routes asks for."""
     used = routes.select(*key, "step").distinct().join(steps, [*key, "step"]).select(*key, "step", F.explode("pieces").alias("molecule"))
     return used.groupBy(*key, "molecule").agg(F.count_distinct("step").alias("n_parents")).where("n_parents > 1")
+
+
+def id_pool(seeds: DataFrame, letters: str = "abcdefghijklmnopqrstuvwxyz", most: int = 40) -> DataFrame:
+    """(seed, place, id): the first ``most`` two-character ids of each seed, a letter and then a letter or digit, in an order of the seed's own."""
+    second = letters + "0123456789"
+    pool = F.explode(F.array(*[F.lit(a + b) for a in letters for b in second]))
+    ids = seeds.select("seed").distinct().select("seed", pool.alias("id"))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.md5(F.concat_ws(":", F.col("seed").cast("string"), "id")), "id"))
+    return ids.withColumn("place", place.cast("long")).where(F.col("place") <= most).select("seed", "place", "id")
+
+
+def known_key(canonical: Column, raw: Column) -> Column:
+    """The canonical form, or the string itself where there is none: a target is never dropped."""
+    return F.coalesce(canonical, raw)
+
+
+def same(a: Column, b: Column) -> Column:
+    """Whether two canonical forms are known and equal."""
+    return F.coalesce(a == b, F.lit(False))
+
+
+def records_of(run: DataFrame, targets: DataFrame) -> DataFrame:
+    """The records of the given targets: a semi-join, which Parquet's row-group statistics prune for a literal target."""
+    return run.join(targets.select("target").distinct(), "target", "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomroute.catalog import query
@@ -10,6 +11,7 @@ from loomroute.operators import lookups
 
 from .q_drafts import _case
 from .roles import table
+from .workspace import new_folder, save
 
 _CHOICES = _case("o_orderkey % 6", ["qm·c0 vg·c9", "qm·c1", "qm·c1 qm·c2", "qm c1", "", "a·c10  b·c2"])
 _SIGNALS = _case("o_orderkey % 4", ["q.374 rt1 p—", "p.1p.25", "none", "q1 rt— d.05"])
@@ -277,3 +279,44 @@ def claimed_merge_points(spark, sf):
     """Molecules that several steps of the claimed routes share."""
     steps = _claimed(spark, sf)
     return lookups.merge_points(steps.where("step % 3 > 0").select("route", "step"), steps, ["route"])
+
+
+@query(
+    "id_pools",
+    """WITH l AS (SELECT unnest(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ')) AS a), s AS (SELECT a FROM l UNION ALL SELECT CAST(unnest(generate_series(0, 9)) AS VARCHAR)), p AS (SELECT l.a || s.a AS id FROM l, s)
+SELECT n_nationkey AS seed, row_number() OVER (PARTITION BY n_nationkey ORDER BY md5(n_nationkey || ':' || id), id) AS place, id FROM nation, p QUALIFY place <= 40""",
+)
+def id_pools(spark, sf):
+    """Short ids in an order of each seed's own."""
+    return lookups.id_pool(table(spark, sf, "nation").select(F.col("n_nationkey").alias("seed")))
+
+
+@query("known_keys", "SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN lower(p_name) ELSE p_name END AS key, p_size % 3 > 0 AND p_size % 2 = 0 AND lower(p_name) = lower(p_name) AS same FROM part")
+def known_keys(spark, sf):
+    """Keys with the raw string where no canonical form is known; two forms are the same only if both are known."""
+    p = table(spark, sf, "part")
+    canonical = F.when(F.col("p_size") % 3 > 0, F.lower("p_name"))
+    other = F.when(F.col("p_size") % 2 == 0, F.lower("p_name"))
+    return p.select("p_partkey", lookups.known_key(canonical, F.col("p_name")).alias("key"), lookups.same(canonical, other).alias("same"))
+
+
+@query("records_of_targets", "SELECT o_orderkey, o_custkey AS target FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def records_of_targets(spark, sf):
+    """Point lookups of a run's records by target."""
+    run = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("target"))
+    return lookups.records_of(run, table(spark, sf, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("target")))
+
+
+@query("targets_in_order", "SELECT c_custkey AS target, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer")
+def targets_in_order(spark, sf):
+    """A target list with each line's place: lines are numbered within their file part, and the parts' sizes shift them."""
+    path = new_folder(spark, "targets")
+    listed = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("value"))
+    listed.repartitionByRange(4, F.col("value").cast("long")).sortWithinPartitions(F.col("value").cast("long")).write.text(path)
+    lines = spark.read.text(path).select(F.col("value").cast("long").alias("target"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    lines = save(lines, "target_lines")
+    # Files are named in order; a file's lines come in the order of their ids.
+    within = F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1
+    sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    start = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a file
+    return lines.withColumn("within", within).join(F.broadcast(start.select("file", "start")), "file").select("target", (F.col("start") + F.col("within")).alias("place"))
