@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .slices import sliced
+
 #: Entries of a worker's memo of pre-tokens, and the longest pre-token kept in it (characters).
 MEMO_ENTRIES = 800_000
 MEMO_CHARS = 48
@@ -199,7 +201,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         bpe = loaded(path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [bpe.encode_bytes(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(bpe.decode_bytes, ids), pa.binary())], names=["doc_id", "ids", "decoded"])
 
@@ -212,7 +214,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         bpe = loaded(path, pattern)
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 ids = bpe.encode_bytes(text or "")
