@@ -6,15 +6,19 @@ classes, ids and roles of its ancestors), of its hashed words, and of a few shap
 text, place in the page). A bidirectional LSTM in numpy reads the whole page's sequence in both directions and
 labels every block content or not, so a block is judged with the document around it.
 
-Training is weakly supervised on a bounded sample of ``pages`` whole pages (those with the smallest hash of
-page_id, url and html): the labels come from the meaning of tag and class names, and copies of the sample pages are
-varied (containers renamed or dropped, foreign boilerplate put in) so that the labeller also knows kinds of
-blocks that the sample lacks. One task trains; only the weights, of fixed size, reach the driver and are broadcast.
+Training uses a bounded sample of ``pages`` whole pages (those with the smallest hash of page_id, url and html)
+and ``layouts`` made-up pages. A sample page is labelled by where its prose is: the article or main element with
+the most of it, else the deepest container that holds most of the page's prose, without what that element holds of
+navigation, forms, asides and blocks that are mostly links. A made-up page is put together from parts whose label is
+known by construction (headlines, bylines, paragraphs, lists, tables; menus, adverts, notices, forms, sidebars, reader
+comments, footers), in words of the sample, with container names that often say nothing, so shapes, order and
+neighbours must decide. One task trains; only the weights, of fixed size, reach the driver and are broadcast.
+Training sequences are cut at ``WINDOW`` blocks; labelling never cuts.
 
 Defined cases: null or empty html gives empty text; broken markup is read as far as it goes, with the implied
-ends of paragraphs, list items, cells and the head, and skipped elements end with their parent; scripts, styles, forms' fields and the head are never blocks; pages of
-any length are read whole; a table whose sample has no block at all is judged by the teacher's rules; other
-columns are ignored.
+ends of paragraphs, list items, cells and the head, and skipped elements end with their parent; scripts, styles,
+forms' fields and the head are never blocks; pages of any length are read whole; a table without any block trains
+on made-up pages alone; equal pages have equal texts; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAGES = 240
+PAGES, LAYOUTS = 240, 2000
 SEED = 20
 PATH_DIM, WORD_DIM, SHAPES = 64, 16, 6
 DIM = PATH_DIM + WORD_DIM + SHAPES
 HIDDEN = 16
-EPOCHS = 16
+EPOCHS = 12
 LEARNING_RATE = 0.01
-#: Blocks that a training sequence has at most (longer pages are cut into windows; labelling is never cut).
-WINDOW = 64
+#: Blocks that a training sequence has at most; labelling is never cut.
+WINDOW = 512
 
 # Tags of HTML by their meaning, and names that sites give to kinds of blocks.
 SKIPPED = frozenset("script style noscript template svg iframe textarea select option button title object canvas".split())
@@ -45,23 +49,36 @@ BLOCK = frozenset(
 )
 #: Tags that can stand in a head; any other one ends it.
 HEAD_TAGS = frozenset("base basefont bgsound html link meta noframes noscript script style template title".split())
-CONTENT_TAGS = ("article", "main")
-CONTENT_NAMES = ("content", "post", "entry", "article", "story", "main")
-BOILER_TAGS = ("nav", "footer", "aside", "form", "menu", "dialog", "header")
-BOILER_NAMES = (
-    "ad ads advert advertisement banner promo sponsor comment comments replies reply sidebar menu nav navbar navigation breadcrumb footer header masthead notice alert cookie consent share social related recommended newsletter subscribe login search pagination widget copyright".split()
-)
+#: Elements that can hold a page's main text, and those inside it that are apart from it.
+HOLDERS = frozenset("article body center dd div fieldset main section table tbody td tr".split())
+APART = frozenset("nav footer aside form menu dialog fieldset".split())
+# Names of containers on made-up pages; the empty name and the plain ones say nothing.
+PLAIN_NAMES = ("", "", "", "wrapper", "row", "col", "inner", "box", "block", "x1", "c2", "left", "right", "center", "container", "group", "item", "grid", "layout", "panel")
+MAIN_NAMES = ("content", "post", "entry", "article", "story", "main", "article body", "post content", "entry content", "page", "text")
+PART_NAMES = {
+    "menu": ("nav", "navbar", "menu", "navigation", "breadcrumb", "breadcrumbs", "tabs", "topbar", "links", "pagination", "toc"),
+    "advert": ("ad", "ads", "advert", "advertisement", "banner", "promo", "sponsor", "sponsored", "adsense"),
+    "notice": ("notice", "alert", "cookie", "consent", "gdpr", "popup", "modal", "message", "warning", "announcement"),
+    "form": ("newsletter", "subscribe", "login", "search", "signup", "contact form", "form"),
+    "sidebar": ("sidebar", "side", "widget", "related", "recommended", "popular", "trending", "more", "share", "social", "tags", "author box"),
+    "comments": ("comments", "comment", "comment list", "disqus", "disqus thread", "replies", "reply", "responses", "discussion", "respond", "feedback", "reader comments", "talkback"),
+    "footer": ("footer", "copyright", "colophon", "legal", "site info", "bottom"),
+}
 _ENDS_P = BLOCK - {"html", "body"}
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
 
+Block = tuple[str, tuple[str, ...], int, tuple[tuple[int, str], ...]]
+
+
 class _Blocks(HTMLParser):
-    """Collects (text, path tokens, linked characters)."""
+    """Collects (text, path tokens, linked characters, numbers of the elements around it with their tags)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, tuple[str, ...], int]] = []
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.blocks: list[Block] = []
+        self.stack: list[tuple[str, tuple[str, ...], int]] = []
+        self.elements = 0
         self.text: list[str] = []
         self.skip = ""
         self.inside: list[str] = []  # block tags open inside the skipped element
@@ -72,7 +89,7 @@ class _Blocks(HTMLParser):
         if self.text:
             words = " ".join("".join(self.text).split())
             if words:
-                self.blocks.append((words, tuple(t for _, own in self.stack for t in own), self.linked))
+                self.blocks.append((words, tuple(t for _, own, _ in self.stack for t in own), self.linked, tuple((n, tag) for tag, _, n in self.stack)))
             self.text = []
         self.linked = 0
 
@@ -111,7 +128,8 @@ class _Blocks(HTMLParser):
             for key, value in attrs:
                 if value and key in ("class", "id", "role"):
                     names += [w for w in value.lower().replace("-", " ").replace("_", " ").split()]
-            self.stack.append((tag, tuple(names)))
+            self.elements += 1
+            self.stack.append((tag, tuple(names), self.elements))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or self.skip:
@@ -131,7 +149,7 @@ class _Blocks(HTMLParser):
                 while self.inside.pop() != tag:
                     pass
                 return
-            if not (tag == "head" and self.head or any(tag == t for t, _ in self.stack)):
+            if not (tag == "head" and self.head or any(tag == t for t, _, _ in self.stack)):
                 return
             self.skip = ""  # its parent closes
         if tag == "head":
@@ -153,7 +171,7 @@ class _Blocks(HTMLParser):
                 self.linked += len(data)
 
 
-def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int]]:
+def blocks(html: str | None) -> list[Block]:
     reader = _Blocks()
     if html:
         reader.feed(html)
@@ -162,19 +180,43 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int]]:
     return reader.blocks
 
 
-def taught(block: tuple[str, tuple[str, ...], int], has_container: bool) -> bool:
-    """The teacher's label, from names alone."""
-    text, path, linked = block
-    if any(t in BOILER_TAGS or t in BOILER_NAMES for t in path):
-        return False
-    if has_container:
-        return any(t in CONTENT_TAGS or t in CONTENT_NAMES for t in path)
-    return linked * 2 < len(text)
-
-
-def teach(page: list) -> list[bool]:
-    has = any(t in CONTENT_TAGS or t in CONTENT_NAMES for _, path, _ in page for t in path)
-    return [taught(b, has) for b in page]
+def _prose(block: Block) -> int:
+    """Characters outside links of a block that reads like a sentence, else 0."""
+    text, _, linked, _ = block
+    return max(len(text) - linked, 0) if linked * 2 < len(text) and len(text.split()) >= 4 and text[-1] in ".!?:;\"'”»…" else 0
+
+
+def main_element(page: list[Block]) -> int | None:
+    """Number of the element that holds the main text, by where the prose of the page is."""
+    mass: dict[int, int] = {}
+    size: dict[int, int] = {}
+    tags: dict[int, str] = {}
+    depth: dict[int, int] = {}
+    for block in page:
+        apart = any(tag in APART for _, tag in block[3])
+        for level, (number, tag) in enumerate(block[3]):
+            tags[number], depth[number] = tag, level
+            mass[number] = mass.get(number, 0) + (0 if apart else _prose(block))
+            size[number] = size.get(number, 0) + (0 if apart else max(len(block[0]) - block[2], 0))
+    named = [n for n, tag in tags.items() if tag in ("article", "main")]
+    if named:
+        return max(named, key=lambda n: (mass[n], size[n], depth[n], -n))
+    total = max(mass.values(), default=0)
+    weight = mass if total else size
+    total = max(weight.values(), default=0)
+    held = [n for n, tag in tags.items() if tag in HOLDERS and total and weight[n] >= 0.6 * total]
+    return max(held, key=lambda n: (depth[n], weight[n], -n), default=None)
+
+
+def teach(page: list[Block]) -> list[bool]:
+    """Labels of a sample page: what the main element holds, but for elements apart and blocks that are mostly links."""
+    main = main_element(page)
+    out = []
+    for text, _, linked, around in page:
+        numbers = [n for n, _ in around]
+        inside = numbers.index(main) + 1 if main in numbers else None
+        out.append(inside is not None and not any(tag in APART for _, tag in around[inside:]) and linked * 2 < len(text))
+    return out
 
 
 def features(page: list) -> np.ndarray:
@@ -182,7 +224,7 @@ def features(page: list) -> np.ndarray:
     crc = zlib.crc32
     n = len(page)
     paths: dict[tuple, np.ndarray] = {}
-    for i, (text, path, linked) in enumerate(page):
+    for i, (text, path, linked, _) in enumerate(page):
         own = paths.get(path)
         if own is None:
             own = np.zeros(PATH_DIM, dtype=np.float32)
@@ -195,7 +237,7 @@ def features(page: list) -> np.ndarray:
         words = np.bincount([crc(w) & (WORD_DIM - 1) for w in text.lower().encode().split()], minlength=WORD_DIM)
         out[i, PATH_DIM : PATH_DIM + WORD_DIM] = words / max(words.sum(), 1)
         size = len(text)
-        out[i, PATH_DIM + WORD_DIM :] = (np.log1p(size) / 8, linked / max(size, 1), i / n, 1.0 - i / n, text[-1] in ".!?", (text[0] == chr(169)) + 0.0)
+        out[i, PATH_DIM + WORD_DIM :] = (np.log1p(size) / 8, linked / max(size, 1), i / n, 1.0 - i / n, text[-1] in ".!?", sum(map(str.isdigit, text[:200])) / min(size, 200))
     return out
 
 
@@ -294,8 +336,9 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS,
     second = {k: np.zeros_like(v) for k, v in w.items()}
     step = 0
     for _ in range(epochs):
-        order = rng.permutation(len(sequences))
-        for at in range(0, len(order), 32):
+        # Sequences of like length share a batch, so few steps are padding; batches come in random order.
+        order = sorted(rng.permutation(len(sequences)).tolist(), key=lambda i: len(sequences[i][0]))
+        for at in rng.permutation(np.arange(0, len(order), 32)).tolist():
             own = [sequences[i] for i in order[at : at + 32]]
             x, mask = _pad([s[0] for s in own])
             y = np.zeros(mask.shape[:2], dtype=np.float32)
@@ -320,50 +363,138 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS,
     return w
 
 
-def _varied(page: list, rng: np.random.Generator, texts: list[str]) -> list:
-    """A copy of the page with its containers renamed or dropped and boilerplate of other kinds put in."""
-    name = [None, "main", "content", "post", "entry", "section"][rng.integers(6)]
-    out = []
-    for text, path, linked in page:
-        if name is not None:
-            path = tuple(("section" if name == "section" else name) if t == "article" else t for t in path)
-        if name in ("content", "post", "entry"):
-            path = tuple(x for t in path for x in (("div", name) if t == name else (t,)))
-        if path[-1:] == ("p",) and rng.random() < 0.15:
-            path = path[:-1] + (("ul", "li"), ("table", "tr", "td"), ("blockquote",), ("h2",), ("pre",), ("div", "p"))[rng.integers(6)]
-        out.append((text, path, linked))
-    for _ in range(int(rng.integers(1, 5))):
-        kind = [*BOILER_TAGS, *BOILER_NAMES][rng.integers(len(BOILER_TAGS) + len(BOILER_NAMES))]
-        tag = kind if kind in BOILER_TAGS else ("div", "section", "ul")[rng.integers(3)]
-        names = (tag,) if kind == tag else (tag, kind)
-        inner = ((), ("p",), ("li",), ("h3",), ("div",))[rng.integers(5)]
-        at = int(rng.integers(len(out) + 1))
-        around = out[min(at, len(out) - 1)][1] if out and rng.random() < 0.4 else ("html", "body")
-        around = tuple(t for t in around if t not in ("p", "li", "h1", "h2", "h3"))
-        some = []
-        for _ in range(int(rng.integers(1, 7))):
-            text = texts[rng.integers(len(texts))]
-            some.append((text, (*around, *names, *inner), len(text) if rng.random() < 0.4 else 0))
-        out[at:at] = some
-    return out
-
-
-def fit(pages: list[str], seed: int = SEED) -> dict[str, np.ndarray] | None:
-    """Weights from the sample's html; None if it has no block."""
+class _Layouts:
+    """Made-up pages: blocks and their labels by construction."""
+
+    def __init__(self, rng: np.random.Generator, words: list[str]) -> None:
+        self.rng, self.words = rng, words or [a + b for a in ("ka", "lo", "mi", "re", "su", "ta") for b in ("n", "rel", "st", "do", "ve", "s")]
+
+    def chance(self, p: float) -> bool:
+        return self.rng.random() < p
+
+    def one(self, items):
+        return items[int(self.rng.integers(len(items)))]
+
+    def some(self, low: int, high: int) -> str:
+        return " ".join(self.one(self.words) for _ in range(int(self.rng.integers(low, high + 1))))
+
+    def sentences(self, low: int, high: int) -> str:
+        return " ".join(self.some(4, 18).capitalize() + self.one("....!?") for _ in range(int(self.rng.integers(low, high + 1))))
+
+    def named(self, tag: str, names) -> tuple[str, ...]:
+        """Tokens of an element; a name is given, or one that says nothing."""
+        return (tag, *self.one(names).split())
+
+    def part(self, kind: str, around: tuple[str, ...]) -> list[tuple[str, tuple[str, ...], int]]:
+        own = {"menu": "nav", "form": "form", "sidebar": "aside", "footer": "footer", "notice": "dialog"}.get(kind)
+        tag = own if own and self.chance(0.4) else self.one(("div", "div", "section", "ul"))
+        path = (*around, *self.named(tag, PLAIN_NAMES if self.chance(0.3) and (tag == own or kind in ("menu", "footer", "comments")) else PART_NAMES[kind]))
+        out = []
+        if kind == "menu" or (kind == "sidebar" and self.chance(0.6)):
+            if self.chance(0.3):
+                out.append((self.some(1, 3), (*path, "h3"), 0))
+            for _ in range(int(self.rng.integers(2, 9))):
+                text = self.some(1, 6 if kind == "sidebar" else 3)
+                out.append((text, (*path, *self.one((("ul", "li"), ("li",), ("p",), ()))), len(text)))
+        elif kind == "comments":
+            if self.chance(0.7):
+                out.append((f"{self.rng.integers(1, 90)} {self.some(1, 2)}", (*path, self.one(("h2", "h3", "div"))), 0))
+            for _ in range(int(self.rng.integers(1, 6))):
+                item = (*path, *self.one((("ol", "li"), ("div",), ("div", "comment"), ("article",), ("ul", "li"), ())))
+                if self.chance(0.7):
+                    out.append((self.some(1, 2), (*item, self.one(("div", "p", "h4"))), 0))
+                if self.chance(0.4):
+                    out.append((f"{self.rng.integers(1, 29)} {self.some(1, 1)} {self.rng.integers(2000, 2030)}", (*item, "div"), 0))
+                out.append((self.sentences(1, 4) if self.chance(0.8) else self.some(2, 9), (*item, "p") if self.chance(0.8) else item, 0))
+                if self.chance(0.4):
+                    text = self.some(1, 1)
+                    out.append((text, (*item, "div"), len(text)))
+        elif kind == "form":
+            for _ in range(int(self.rng.integers(1, 4))):
+                out.append((self.some(1, 7), (*path, self.one(("p", "div", "h3"))), 0))
+        elif kind == "footer":
+            year = f"© {self.rng.integers(1990, 2030)} " if self.chance(0.4) else "© " if self.chance(0.5) else ""
+            out.append((year + (self.sentences(1, 1) if self.chance(0.5) else self.some(2, 12)), path if self.chance(0.5) else (*path, "p"), 0))
+            if self.chance(0.4):
+                text = self.some(2, 6)
+                out.append((text, (*path, "ul", "li"), len(text)))
+        else:  # adverts, notices, sidebars in prose
+            for _ in range(1 if kind == "notice" else int(self.rng.integers(1, 3))):
+                text = self.sentences(1, 2) if self.chance(0.7) else self.some(2, 9)
+                out.append((text, path if self.chance(0.6) else (*path, "p"), len(text) if self.chance(0.25) else 0))
+        return out
+
+    def content(self, around: tuple[str, ...]) -> list[tuple[str, tuple[str, ...], int]]:
+        out = []
+        head = (*around, "header") if self.chance(0.4) else around
+        if self.chance(0.85):
+            out.append((self.some(2, 12).capitalize(), (*head, self.one(("h1", "h1", "h2"))), 0))
+        if self.chance(0.35):
+            out.append((f"{self.one(('By', 'Von', 'Par', 'Por', ''))} {self.some(2, 3)}".strip(), (*head, *self.one((("p",), ("div", "byline"), ("p", "author"), ("div", "meta")))), 0))
+        if self.chance(0.25):
+            out.append((f"{self.rng.integers(1, 29)} {self.some(1, 1)} {self.rng.integers(2000, 2030)}", (*head, *self.one((("p",), ("div",), ("div", "date")))), 0))
+        for _ in range(int(self.rng.integers(1, 14))):
+            kind = self.rng.random()
+            if kind < 0.72:
+                text = self.sentences(1, 6)
+                out.append((text, (*around, self.one(("p", "p", "p", "p", "div"))), len(text) // 5 if self.chance(0.2) else 0))
+            elif kind < 0.80:
+                out.append((self.some(1, 7).capitalize(), (*around, self.one(("h2", "h3", "h4"))), 0))
+            elif kind < 0.88:
+                for _ in range(int(self.rng.integers(2, 6))):
+                    out.append((self.some(1, 10), (*around, self.one(("ul", "ol")), "li"), 0))
+            elif kind < 0.93:
+                for _ in range(int(self.rng.integers(2, 7))):
+                    out.append((self.some(1, 3), (*around, "table", "tbody", "tr", self.one(("td", "th"))), 0))
+            else:
+                out.append((self.sentences(1, 2), (*around, *self.one((("blockquote",), ("blockquote", "p"), ("pre",), ("figure", "figcaption")))), 0))
+        return out
+
+    def page(self) -> tuple[list, list[bool]]:
+        body = ("html", "body", *(self.named("div", PLAIN_NAMES) if self.chance(0.5) else ()))
+        where = self.rng.random()
+        if where < 0.35:
+            main = (*body, *self.one((("article",), ("main",), ("main", "article"), ("div", "article"))))
+        elif where < 0.7:
+            main = (*body, *self.named(self.one(("div", "section")), MAIN_NAMES))
+        else:
+            main = (*body, *self.named(self.one(("div", "section", "div")), PLAIN_NAMES))
+        blocks: list = []
+        labels: list[bool] = []
+
+        def put(rows, label):
+            blocks.extend((*row, ()) for row in rows)
+            labels.extend([label] * len(rows))
+
+        for kind, p in (("notice", 0.25), ("menu", 0.75), ("advert", 0.35), ("menu", 0.25), ("form", 0.15), ("sidebar", 0.25), ("advert", 0.15)):
+            if self.chance(p):
+                put(self.part(kind, (*body, "header") if kind == "menu" and self.chance(0.3) else body), False)
+        rows = self.content(main)
+        cuts = sorted(int(self.rng.integers(1, len(rows) + 1)) for _ in range(int(self.rng.integers(0, 4))))
+        for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+            put(rows[a:b], True)
+            if b < len(rows) and a < b:
+                put(self.part(self.one(("advert", "advert", "sidebar", "form", "notice")), main), False)
+        for kind, p in (("sidebar", 0.3), ("form", 0.2), ("comments", 0.45), ("advert", 0.3), ("sidebar", 0.35), ("menu", 0.2), ("footer", 0.8), ("notice", 0.2)):
+            if self.chance(p):
+                put(self.part(kind, main if kind != "footer" and self.chance(0.3) else body), False)
+        return blocks, labels
+
+
+def fit(pages: list[str], seed: int = SEED, layouts: int = LAYOUTS) -> dict[str, np.ndarray]:
+    """Weights from the sample's html and made-up pages."""
     rng = np.random.default_rng(seed)
     own = [b for b in map(blocks, pages) if b]
-    if not own:
-        return None
-    texts = [text for page in own for text, _, _ in page]
+    words = [w for page in own for text, *_ in page for w in text.split()[:400]]
+    maker = _Layouts(rng, words)
     sequences = []
-    for page in own:
-        for version in (page, _varied(page, rng, texts)):
-            x, y = features(version), np.array(teach(version), dtype=np.float32)
-            sequences += [(x[i : i + WINDOW], y[i : i + WINDOW]) for i in range(0, len(x), WINDOW)]
+    for page, labels in [*((page, teach(page)) for page in own), *(maker.page() for _ in range(layouts))]:
+        x, y = features(page), np.array(labels, dtype=np.float32)
+        sequences += [(x[i : i + WINDOW], y[i : i + WINDOW]) for i in range(0, len(x), WINDOW)]
     return train(sequences, seed=seed)
 
 
-def extract(pages: DataFrame, weights: dict | None) -> DataFrame:
+def extract(pages: DataFrame, weights: dict) -> DataFrame:
     """(page_id, url, text) for each row of (page_id, url, html)."""
     shared = pages.sparkSession.sparkContext.broadcast(weights)
 
@@ -373,7 +504,7 @@ def extract(pages: DataFrame, weights: dict | None) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 read = [blocks(h) for h in part.column("html").to_pylist()]
-                keep = [np.array(teach(p)) for p in read] if w is None else [s > 0.5 for s in scores(w, [features(p) for p in read])]
+                keep = [s > 0.5 for s in scores(w, [features(p) for p in read])]
                 texts = ["\n\n".join(b[0] for b, k in zip(page, kept) if k) for page, kept in zip(read, keep)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
@@ -387,19 +518,20 @@ def sample(pages: DataFrame, n: int = PAGES) -> DataFrame:
     return rows.join(F.broadcast(chosen), "h").dropDuplicates(["h"])  # n rows at most
 
 
-def fit_sample(chosen: DataFrame, seed: int = SEED) -> dict[str, np.ndarray] | None:
+def fit_sample(chosen: DataFrame, seed: int = SEED) -> dict[str, np.ndarray]:
     """Train in one task, single-threaded like all of Spark's Python workers; only the weights come back."""
     names = list(new_weights(np.random.default_rng(0)))
 
     def run(batches):
         rows = sorted((h, html) for b in batches for h, html in zip(b.column("h").to_pylist(), b.column("html").to_pylist()))
-        w = fit([html for _, html in rows], seed) if rows else None
-        if w:
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([w[k].astype("<f4").tobytes() for k in names], pa.binary())], names=["name", "data"])
+        w = fit([html for _, html in rows], seed)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([w[k].astype("<f4").tobytes() for k in names], pa.binary())], names=["name", "data"])
 
     found = {r["name"]: np.frombuffer(r["data"], dtype="<f4") for r in chosen.coalesce(1).mapInArrow(run, "name string, data binary").collect()}
+    if not found:  # an empty sample may have no task at all
+        return fit([], seed)
     shapes = {k: v.shape for k, v in new_weights(np.random.default_rng(0)).items()}
-    return {k: v.reshape(shapes[k]) for k, v in found.items()} or None
+    return {k: v.reshape(shapes[k]) for k, v in found.items()}
 
 
 def query(spark, sf_dir: str) -> DataFrame:
