@@ -33,7 +33,8 @@ DEFAULT = "allow"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
-    rest = F.when(F.locate("://", url) > 0, F.expr("substr({0}, locate('://', {0}) + 3)".format("url"))).otherwise(F.lit(""))
+    at = F.locate("://", url)
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
     host = ascii_lower(F.regexp_extract(rest, r"(?s)\A([^/?#]*)", 1))
     path = F.regexp_extract(rest, r"(?s)\A[^/?#]*([^?#]*)", 1)
