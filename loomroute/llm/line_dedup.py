@@ -60,7 +60,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """The documents with ``text`` reassembled, plus ``_n_lines`` and ``_n_dropped`` (replaced if present)."""
     at, ta, tb, lost, kept = (free_name(docs, x) for x in ("_lost_id", "_lost_a", "_lost_b", "_lost", "_places"))
     found = save(lost_positions(docs, min_chars, min_docs), "lost").toDF(at, ta, tb, lost)
-    found = checked_broadcast(found, found.count())  # beyond the limit texts are shuffled by document
+    entries = found.agg(F.coalesce(F.sum(F.size(lost) + 1), F.lit(0))).first()[0]
+    found = checked_broadcast(found, entries)  # beyond the limit texts are shuffled by document
     same = [a.eqNullSafe(F.col(b)) for a, b in zip((docs["doc_id"], F.xxhash64(docs["text"]), F.xxhash64(F.lit("text"), docs["text"])), (at, ta, tb))]
     joined = docs.join(found, same, "left")
     lines = _lines(F.col("text"))
