@@ -1,8 +1,10 @@
 """Operators without SQL against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import html
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -150,7 +152,7 @@ def test_imatch_odd_rows(spark):
 
 
 def test_ppm_probabilities_sum_to_one():
-    model = ppm_language.train({"a": [b"abracadabra", b"banana"], "b": [b"xyzzy xyzzy"]}, max_contexts=12)
+    model = ppm_language.train({"a": [b"abracadabra", b"banana"], "b": [b"xyzzy xyzzy"]})
     p = np.exp2(-model.bits.reshape(-1, model.width, 2).astype(float))
     total = p[:, :-1].sum(1) + p[:, -1] * (256 - model.width + 1)
     assert np.allclose(total, 1, atol=1e-5)
@@ -233,7 +235,6 @@ def test_sstable_round_trip_and_lookup():
 
 def test_token_shards_against_the_library(spark, small):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     start, expected = 0, []
     for doc_id, t in sorted((r["doc_id"], r["text"] or "") for r in docs.collect()):
@@ -259,7 +260,6 @@ ALPHABET = ["a", "b", " ", "  ", "\n", "\t", "é", "ß", "'s", "'", "!", "1", "2
 
 def test_word_encoder_on_random_texts():
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     encoder, rng = sstable.WordEncoder(WORDS), random.Random(5)
     texts = ["".join(rng.choices(ALPHABET[: 14 if i % 2 else None], k=rng.randint(0, 14))) for i in range(3000)]
     for t, ids in zip(texts, encoder.encode(texts)):
@@ -305,14 +305,57 @@ def weights(spark, small):
     return html_lstm.fit_sample(html_lstm.sample(spark.read.parquet(f"{small}/pages.parquet"), 120))
 
 
-def test_html_labels_on_unseen_pages(spark, small, weights):
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
-    read = [html_lstm.blocks(r["html"]) for r in pages]
-    right = total = 0
-    for page, p in zip(read, html_lstm.scores(weights, [html_lstm.features(b) for b in read])):
-        right += sum((s > 0.5) == y for s, y in zip(p, html_lstm.teach(page)))
-        total += len(page)
-    assert right / total > 0.999
+def plain_article(page):
+    """The article's text of the generator's pages, by patterns alone: headline and paragraphs."""
+    body = re.search(r"<article>(.*)</article>", page or "", re.S)
+    parts = re.split(r"</?(?:h1|p)>", body.group(1)) if body else []
+    texts = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", x.replace("<br>", " "))).split()) for x in parts)
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_html_text_against_plain_patterns(spark, small, weights):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    expected = {r["page_id"]: plain_article(r["html"]) for r in pages.collect()}
+    assert {r["page_id"]: r["text"] for r in html_lstm.extract(pages, weights).collect()} == expected
+    few = {r["page_id"]: plain_article(r["html"]) for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    assert {r["page_id"]: (r["text"], r["n_chars"]) for r in html_lstm.query(spark, small).collect()} == {k: (t, len(t)) for k, t in few.items()}
+
+
+ARTICLE = ["Storm hits the coast", "By Jane Doe", "Heavy rain fell on Monday, and roads were closed for hours.", "Officials said that repairs will take a week."]
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<nav><a href=a>Home</a> <a href=b>News</a></nav>{}<footer>© 2020 The Site</footer>",
+        "<div class=menu><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></div>{}<div class='disqus'><h3>2 comments</h3><div>bob</div><p>I was there, it was terrible.</p><div>ann</div><p>Stay safe everyone!</p></div>",
+        "<div class='cookie notice'>We use cookies to make this site better.</div>{}<section id=comments><p>Thanks for writing this.</p><p>I do not agree at all.</p></section>",
+        "<div class=advert><p>Buy shoes now, they are cheap!</p></div>{}<aside><h3>More</h3><ul><li><a href=x>Other story about the rain</a></ul></aside>",
+        "<header><a href=/>The Site</a></header>{}<form><label>Your mail address</label><input><p>Get our news every day.</p></form>",
+    ],
+)
+def test_html_kinds_of_blocks(weights, around):
+    """Article headers and bylines stay; menus, adverts, notices, forms, sidebars and reader comments go."""
+    head = f"<header><h1>{ARTICLE[0]}</h1><p class=byline>{ARTICLE[1]}</p></header>"
+    body = "".join(f"<p>{t}</p>" for t in ARTICLE[2:])
+    for box in ("<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>"):
+        page = html_lstm.blocks("<body>" + around.format(box.format(head + body)))
+        kept = [b[0] for b, s in zip(page, html_lstm.scores(weights, [html_lstm.features(page)])[0]) if s > 0.5]
+        assert kept == ARTICLE, box
+
+
+def test_html_teacher_reads_positions():
+    """Without an article the deepest container of most prose is taught, whatever its name."""
+    page = html_lstm.blocks("<body><div><a href=x>Menu</a></div><div class=zz><div class=q><h2>Head</h2><p>First sentence of the text is here.</p><p>And the second one goes on for long.</p><form><p>Give us your mail now.</p></form></div></div><p>Short end note here.</p>")
+    assert [b[0] for b, y in zip(page, html_lstm.teach(page)) if y] == ["Head", "First sentence of the text is here.", "And the second one goes on for long."]
+    assert html_lstm.teach([]) == []
+
+
+def test_html_made_up_pages_are_learned(weights):
+    maker = html_lstm._Layouts(np.random.default_rng(99), "the of and house river blue walk quick seven".split())
+    pages = [maker.page() for _ in range(300)]
+    found = html_lstm.scores(weights, [html_lstm.features(p) for p, _ in pages])
+    assert np.mean(np.concatenate([(s > 0.5) == np.array(y) for s, (_, y) in zip(found, pages)])) > 0.97
 
 
 def test_html_blocks():
@@ -345,9 +388,12 @@ def test_html_gradient():
 def test_html_odd_rows(spark, weights):
     pages = spark.createDataFrame([(1, None, None, 1), (2, "u", "", 1), (2, "u", "<article><p>x</p></article>", 1), (None, "u", "<p" * 2000, 1)], "page_id long, url string, html string, text int")
     assert len(html_lstm.extract(pages, weights).collect()) == 4
-    assert html_lstm.extract(pages, None).where("page_id = 2").orderBy("text").collect()[1]["text"] == "x"
+    long_page = "<article>" + "<p>One sentence of this very long page.</p>" * 20_000 + "</article>"
+    whole = html_lstm.extract(spark.createDataFrame([(1, "u", long_page)], "page_id long, url string, html string"), weights).first()["text"]
+    assert whole.count("One sentence") > 19_900
     assert html_lstm.extract(pages.limit(0), weights).count() == 0
-    assert html_lstm.fit_sample(html_lstm.sample(pages.limit(0))) is None
+    made_up_only = html_lstm.fit_sample(html_lstm.sample(pages.limit(0)))
+    assert html_lstm.extract(pages, made_up_only).count() == 4
 
 
 def test_word_encoder_leaves_added_tokens_to_the_library():
@@ -377,3 +423,41 @@ def test_imatch_band_ignores_copies(spark, small):
     alone, among = (sorted(tuple(r) for r in imatch.lexicon(d).collect()) for d in (docs, more))
     assert alone == among
     assert any(imatch.fingerprints(more).where("doc_id = 1000").first()["own"])
+
+
+def test_language_ties_and_empty_tables(spark):
+    same = {"b": [b"la la la", b"lo la"], "a": [b"la la la", b"lo la"]}
+    model = ppm_language.train(same)
+    docs = spark.createDataFrame([(1, "la lo", "x", 0.1), (2, "la " * 30_000, "x", 0.2)], "doc_id long, text string, lang_pred string, score double")
+    got = ppm_language.predict(docs, model).orderBy("doc_id").collect()
+    assert [(r["lang_pred"], r["score"]) for r in got] == [("a", 0.5), ("a", 0.5)]  # a tie goes to the language that sorts first
+    assert ppm_language.predict(docs.limit(0), model).count() == 0
+    named = ppm_language.annotate(docs, model, "guess", "how_sure")
+    assert named.columns == [*docs.columns, "guess", "how_sure"] and {r["lang_pred"] for r in named.collect()} == {"x"}
+
+
+def test_language_learned_from_long_texts_only(spark):
+    rows = [(i, "der die das und " * 20, "de") for i in range(5)] + [(10 + i, "the of and to in " * 2000, "en") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = ppm_language.sample(docs, per_language=3, longest=500)
+    assert {k: len(v) for k, v in found.items()} == {"de": 3, "en": 3} and all(len(t) == 500 for t in found["en"])
+    assert set(ppm_language.sample(docs, most_languages=1)) == {"de"}  # as many rows each: the one that sorts first
+
+
+def test_byte_bpe_digests_of_odd_rows(spark):
+    docs = spark.createDataFrame([(None, None, 1), (1, "", 1), (1, "a", 1), (2, "na " * 100_000, 1)], "doc_id long, text string, n_tokens int")
+    got = sorted((tuple(r) for r in byte_bpe.digests(docs, RANKS, tokenizers_of.PATTERN).collect()), key=repr)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    library = tiktoken.Encoding("own", pat_str=tokenizers_of.PATTERN, mergeable_ranks=byte_bpe.loaded(RANKS, tokenizers_of.PATTERN).ranks, special_tokens={})
+    expected = []
+    for d, t in ((None, ""), (1, ""), (1, "a"), (2, "na " * 100_000)):
+        ids = np.array(library.encode_ordinary(t), dtype="<u4").tobytes()
+        expected.append((d, len(ids) // 4, sha(ids), sha(t.encode())))
+    assert got == sorted(expected, key=repr)
+    assert byte_bpe.digests(docs.limit(0), RANKS, tokenizers_of.PATTERN).count() == 0
+
+
+def test_html_tie_is_no_content(spark):
+    zero = {k: np.zeros_like(v) for k, v in html_lstm.new_weights(np.random.default_rng(0)).items()}
+    pages = spark.createDataFrame([(1, "u", "<article><p>One sentence here.</p></article>")], "page_id long, url string, html string")
+    assert html_lstm.extract(pages, zero).first()["text"] == ""  # every score is exactly one half

@@ -121,3 +121,21 @@ def test_positional_index_phrases_and_proximity(spark):
     assert sorted((r["qid"], r["doc_id"] or 0) for r in found.collect()) == [(1, 1), (1, 3), (2, 0), (2, 1), (2, 1), (2, 3), (3, 1)]
     assert positional_index.contamination(docs.limit(0), items).count() == 0
     assert positional_index.contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_long_texts_and_conversations(spark):
+    line = "a line that is long enough to be looked at by its key, number"
+    many = "\n".join(f"{line} {i}" for i in range(20_000))
+    docs = spark.createDataFrame([(i, many if i == 9 else f"{line} 7\n{line} 19999", 1) for i in range(5, 10)], "doc_id long, text string, lines int")
+    got = {r["doc_id"]: (r["_n_lines"], r["_n_dropped"], r["text"]) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[9] == (20_000, 0, many) and all(got[i] == (2, 2, "") for i in range(5, 9))
+    reverse = docs.withColumn("doc_id", 14 - F.col("doc_id"))  # the long text is the smallest id now: it loses the two lines
+    left = {r["doc_id"]: r for r in line_dedup.dedup_lines(reverse).collect()}[5]
+    assert left["_n_dropped"] == 2 and left["text"] == "\n".join(x for i, x in enumerate(many.split("\n")) if i not in (7, 19_999))
+    words = " ".join(f"w{i}" for i in range(100_000))
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(99_980, 100_000)))], "item_id long, text string")
+    found = positional_index.contamination(spark.createDataFrame([(1, words)], "doc_id long, text string"), items).first()
+    assert (found["n_words"], found["n_hit"], found["items"]) == (100_000, 20, ["1"])
+    turns = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", f"text {i}") for i in range(400)], "conv_id long, turn long, role string, text string")
+    digest = chat_format.read_back(chat_format.expand(turns)).first()
+    assert digest["n_turns"] == 400 and digest["loss_sha256"] == hashlib.sha256("".join(f"text {i}" for i in range(1, 400, 2)).encode()).hexdigest()
