@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from loomroute.functions import keys, smiles
+from loomroute.functions import fields, keys, smiles
 from loomroute.operators import actions, and_or_board, caches, claims, consensus, corpus, graph, pareto, quantiles, routes
 from loomroute.sources import readers, schemas, writers
 
@@ -290,3 +290,27 @@ def test_the_entry_point_survives_a_missing_package():
 
     code = "import sys; sys.modules['loomroute.llm'] = None; import __spark_entry__ as e; assert e.llm is None and len(e.queries()) > 200 and 'op1_chat_format' not in e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=str(__import__("pathlib").Path(__file__).parent.parent), timeout=120)
+
+
+def test_board_walks_wanted_routes():
+    world = {"T": (False, [["A", "S"], ["S"]]), "A": (False, [["S"], ["T"], ["B"]]), "B": (False, [["S"]]), "S": (True, [])}
+    b = and_or_board.AndOrBoard("T", world, 9)
+    assert b.claim({"T": ["S", "A"], "A": ["S"]}) == (None, ["T"], False)  # nothing is on screen yet
+    b.act(1, "open", {"mid": "T"})
+    assert b.claim({"T": ["S"]}) == ({"T": 1}, [], False) and b.claim({"T": ["S"]}, window=1) == (None, [], True)
+    assert b.claim({"T": ["S", "A"], "A": ["S"]}) == (None, [], True)  # A is not on the board, and cannot be bought
+    b.act(2, "rank", {"mid": "T", "order": [0]})
+    assert b.claim({"T": ["A", "S"], "A": ["S"]}) == (None, ["A"], False)
+    b.act(3, "open", {"mid": "A"})
+    assert b.claim({"T": ["A", "S"], "A": ["S"]}) == ({"T": 0, "A": 0}, [], False)
+    assert b.claim({"T": ["A", "S"], "A": ["T"]})[2] and b.claim({"T": ["A", "S"]})[2] and b.claim({"T": ["B"]})[2] and b.claim({})[2]
+    assert b.act(4, "rank", {"mid": "A", "order": [0]}) is None and len(b.routes) == 1
+    assert b.swapped(b.routes[0], "A", 2) == {"T": 0, "A": 2} and b.swapped(b.routes[0], "T", 1) == {"T": 1}
+
+
+def test_objectives_are_read():
+    known = {"quality": [("p", "max"), ("cost", "min")]}
+    assert fields.objectives("quality", known) == known["quality"] and fields.objectives("p:max, cost:min", known) == known["quality"]
+    for bad in ("p", "p:best", ":max", ""):
+        with pytest.raises(ValueError):
+            fields.objectives(bad, known)
