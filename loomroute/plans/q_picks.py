@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomroute.catalog import query
 from loomroute.operators import graph, picks
 
-from .q_graph import LEVELS, _CAND, _HELD, _NODES
+from .q_graph import _CAND, _HELD, _NODES
 from .roles import table
 
 _ORDER = "l_orderkey, l_linenumber, l_extendedprice, l_discount, l_tax, l_quantity, l_returnflag, l_linestatus"
