@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .slices import sliced
 
 #: Entries of a worker's memo of pre-tokens, and the longest pre-token kept in it (characters).
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 400_000
 MEMO_CHARS = 48
 
 # The splitting pattern's white space is Unicode's White_Space property (fixed code points).
@@ -160,10 +160,7 @@ class ByteBPE:
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        return b"".join(map(memo.__getitem__, self.split(text)))
+        return b"".join(map(self.memo.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
@@ -176,7 +173,7 @@ class ByteBPE:
 
 
 class _Memo(dict):
-    """Pre-token -> its ids as bytes; long ones are not kept."""
+    """Pre-token -> its ids as bytes; long ones are not kept, and none once it is full: frequent ones come early."""
 
     def __init__(self, bpe: ByteBPE) -> None:
         super().__init__()
@@ -185,7 +182,7 @@ class _Memo(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.bpe.encode_piece(piece.encode())
         packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= MEMO_CHARS:
+        if len(piece) <= MEMO_CHARS and len(self) < MEMO_ENTRIES:
             self[piece] = packed
         return packed
 
