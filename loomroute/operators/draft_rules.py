@@ -199,19 +199,28 @@ def ending(text: Column) -> Column:
 def stock_close(turns: DataFrame, least_turns: int = 6, least_words: int = 5, share: float = 0.8) -> DataFrame:
     """(episode, turn, hits, before): turns that end as at least half of the earlier turns of the episode do, four at least.
 
-    Word bags are joined on (episode, word), and only pairs of turns that share a word meet.
+    Endings are compared as word bags, each different bag of an episode once; earlier turns are counted by a running
+    sum for each bag. So the work grows with the turns and with the square of an episode's different endings only.
+    No side is broadcast: by the files' sizes the planner takes bags of any number for small.
     """
-    word = F.explode(F.regexp_extract_all(F.lower(ending(F.coalesce("text", F.lit("")))), F.lit(r"[a-z]{4,}"), F.lit(0)))
-    bags = turns.select("episode", "turn", word.alias("word")).groupBy("episode", "turn", "word").agg(F.count(F.lit(1)).alias("n"))
-    size = bags.groupBy("episode", "turn").agg(F.sum("n").alias("size")).where(F.col("size") >= least_words)
-    before = turns.select(F.col("episode"), F.col("turn").alias("t")).groupBy("episode").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    placed = before.select("episode", F.posexplode("ts").alias("before", "turn"))
-    a, b = bags.alias("a"), bags.alias("b")
-    shared = a.join(b, (F.col("a.episode") == F.col("b.episode")) & (F.col("a.word") == F.col("b.word")) & (F.col("b.turn") < F.col("a.turn")))
-    shared = shared.groupBy(F.col("a.episode").alias("episode"), F.col("a.turn").alias("turn"), F.col("b.turn").alias("other")).agg(F.sum(F.least("a.n", "b.n")).alias("m"))
-    hits = shared.join(size, ["episode", "turn"]).where(F.col("m") >= share * F.col("size")).groupBy("episode", "turn").agg(F.count(F.lit(1)).alias("hits"))
-    out = hits.join(placed, ["episode", "turn"]).where((F.col("before") >= least_turns) & (F.col("hits") >= F.greatest(F.lit(4), F.floor(F.col("before") / 2))))
-    return out.select("episode", "turn", "hits", F.col("before").cast("long").alias("before"))
+    words = F.sort_array(F.regexp_extract_all(F.lower(ending(F.coalesce("text", F.lit("")))), F.lit(r"[a-z]{4,}"), F.lit(0)))
+    own = Window.partitionBy("episode")
+    t = turns.select("episode", "turn", F.array_join(words, " ").alias("words")).where("turn IS NOT NULL")
+    t = t.withColumn("bag", F.dense_rank().over(own.orderBy("words"))).withColumn("before", F.row_number().over(own.orderBy("turn", "words")).cast("long") - 1)
+    # A word's repeats become different entries, so that the entries two bags share are the smaller counts added up.
+    split = F.split("words", " ")
+    entries = F.transform(split, lambda w, i: F.concat_ws(" ", w, (i + 1 - F.array_position(split, w)).cast("string")))
+    # Taken by turn, so that this reads the same columns as the rows below and Spark deals the turns out once.
+    bags = t.where("words <> ''").groupBy("episode", "bag").agg(F.min_by("words", "turn").alias("words")).select("episode", "bag", entries.alias("entries"))
+    a, b = bags.select("episode", F.col("bag").alias("for"), F.col("entries").alias("a")).where(F.size("a") >= least_words), bags.withColumnRenamed("entries", "b")
+    alike = a.join(b.hint("merge"), "episode").where(F.size("b") >= share * F.size("a")).where(F.size(F.array_intersect("a", "b")) >= share * F.size("a"))
+    counted = alike.groupBy("episode", "bag").agg(F.collect_list("for").alias("for"))
+    # Each turn counts for all bags like its own, after it has asked for its own bag's count.
+    rows = F.concat(F.array(F.struct("bag", F.lit(0).alias("n"))), F.transform("for", lambda x: F.struct(x.alias("bag"), F.lit(1).alias("n"))))
+    rows = t.join(counted.hint("merge"), ["episode", "bag"]).select("episode", "turn", "before", F.explode(rows).alias("r")).select("episode", "turn", "before", "r.*")
+    hits = F.sum("n").over(Window.partitionBy("episode", "bag").orderBy("turn", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = rows.withColumn("hits", hits).where("n = 0").where((F.col("before") >= least_turns) & (F.col("hits") >= F.greatest(F.lit(4), F.floor(F.col("before") / 2))))
+    return out.select("episode", "turn", "hits", "before")
 
 
 def target_phrases(phrases: DataFrame, target_words: DataFrame, vocabulary: list[str]) -> DataFrame:
