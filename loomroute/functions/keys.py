@@ -94,6 +94,21 @@ PRICE_SATURATE = 15.0
 COST_LOW, COST_SPAN = 2.5, 9.0
 
 
+def fixed(v, decimals: int) -> Column:
+    """The number with so many decimals as C and Python print it: its exact value is rounded, ties to even.
+
+    ``format_string`` rounds the shortest decimal that reads as the number, ties up: 1.45, which is a bit less, gives 1.5.
+    """
+    return F.call_function("format_number", _col(v), F.lit("0." + "0" * decimals if decimals else "0"))
+
+
+def dollars_string(dollars) -> Column:
+    """A price of whole dollars below 1000, thousands with one decimal below 10,000 and without above."""
+    d = _col(dollars)
+    k = F.concat(F.lit("$"), F.when(d >= 10_000, fixed(d / 1000, 0)).otherwise(fixed(d / 1000, 1)), F.lit("k"))
+    return F.when(d >= 1000, k).otherwise(F.concat(F.lit("$"), fixed(d, 0)))
+
+
 def price_string(ln_price) -> Column:
     """The price whose natural logarithm is given: two decimals below 1, one below 10, none below 1000, then k and M."""
     v = _col(ln_price)
@@ -117,7 +132,7 @@ def cost_string(ln_price) -> Column:
 
 def short_number(v, decimals: int = 3) -> Column:
     """A decimal without its leading zero: .374; a dash for null."""
-    return F.coalesce(F.regexp_replace(F.format_string(f"%.{decimals}f", _col(v)), r"^(-?)0\.", "$1."), F.lit("--"))
+    return F.coalesce(F.regexp_replace(fixed(v, decimals), r"^(-?)0\.", "$1."), F.lit("--"))
 
 
 def recovered(rank, present) -> Column:

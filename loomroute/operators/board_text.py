@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +44,14 @@ def budget(text: Column) -> Column:
     return F.struct(F.regexp_extract(text, pattern, 1).try_cast("int").alias("left"), F.regexp_extract(text, pattern, 2).try_cast("int").alias("of"))
 
 
-def candidate_line(index: Column, q: Column, rank: Column, asked: Column, prices: Column) -> Column:
-    """One menu line; the total cost only if every piece has a price, signals that are missing are skipped."""
+def candidate_line(index: Column, q: Column, rank: Column, asked: Column, prices: Column, show: Callable[[Column], Column] | None = None) -> Column:
+    """One menu line; the total cost only if every piece has a price, signals that are missing are skipped.
+
+    ``show`` writes the total in dollars; without it, the price string of its logarithm is taken.
+    """
     whole = F.forall(prices, lambda p: p.isNotNull()) & (F.size(prices) > 0)
     total = F.when(whole, F.aggregate(prices, F.lit(0.0), lambda a, p: a + p))
-    shown = F.when(total.isNotNull(), keys.price_string(F.log(total)))
+    shown = F.when(total.isNotNull(), show(total) if show else keys.price_string(F.log(total)))
     return F.concat_ws(" ", F.concat(F.lit("c"), index.cast("string")), F.when(q.isNotNull(), F.concat(F.lit("q"), keys.short_number(q))), keys.recovered(rank, asked), shown)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomroute.catalog import query
+from loomroute.functions import keys
 from loomroute.operators import board_text, factcheck
 
 from .roles import STEPS, sql, steps, table
@@ -135,7 +136,7 @@ def candidate_lines(spark, sf):
     """Menu lines; the total only where all prices are known."""
     m = _menu(spark, sf)
     price = F.array(F.when(F.col("price") > 20000, F.col("price")))
-    return m.select("route", "cand", board_text.candidate_line(F.col("cand"), F.col("q"), F.col("rt"), F.col("asked"), price).alias("line"))
+    return m.select("route", "cand", board_text.candidate_line(F.col("cand"), F.col("q"), F.col("rt"), F.col("asked"), price, keys.dollars_string).alias("line"))
 
 
 @query(
