@@ -281,13 +281,15 @@ def episode_turns(messages: DataFrame) -> DataFrame:
     return g.where("call IS NOT NULL")
 
 
-def route_line(n_steps: Column, weakest: Column, weakest_at: Column, n_back: Column, n_asked: Column, worst: Column, n_leaves: Column, ln_cost: Column) -> Column:
-    """A route's figures in one line: weakest plausibility, recovered steps, leaves and cost."""
+def route_line(n_steps: Column, weakest: Column, weakest_at: Column, n_back: Column, n_asked: Column, worst: Column, n_leaves: Column, ln_cost: Column | None, cost: Column | None = None) -> Column:
+    """A route's figures in one line: weakest plausibility, recovered steps, leaves and cost, as text or by its logarithm."""
+    if cost is None:
+        cost = F.when(ln_cost.isNotNull(), price_string(ln_cost))
     return F.concat_ws(
         " · ",
         F.concat(n_steps.cast("string"), F.lit(" steps")),
         F.when(weakest.isNotNull(), F.concat(F.lit("weakest p"), short_number(weakest), F.lit(" at r"), weakest_at.cast("string"))),
         F.when(n_asked > 0, F.concat(F.lit("rt "), n_back.cast("string"), F.lit("/"), n_asked.cast("string"), F.lit(" back"), F.when(n_back > 0, F.concat(F.lit(", worst "), worst.cast("string"))).otherwise(""))),
         F.concat(n_leaves.cast("string"), F.lit(" leaves")),
-        F.when(ln_cost.isNull(), F.lit("$?")).otherwise(price_string(ln_cost)),
+        F.coalesce(cost, F.lit("$?")),
     )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomroute.catalog import query
+from loomroute.functions.keys import dollars_string
 from loomroute.operators import draft_rules as rules
 
-from .roles import table
+from .roles import placed, running, table
 
 
 def _case(column: str, options: list[str]) -> str:
@@ -309,7 +310,7 @@ SELECT route, n || ' steps · weakest p' || regexp_replace(printf('%.3f', w), '^
 )
 def route_lines(spark, sf):
     """One line of figures for each route."""
-    s = table(spark, sf, "lineitem").withColumn("rt", F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey") % 5 + 1))
-    g = s.groupBy(F.col("l_orderkey").alias("route")).agg(F.count(F.lit(1)).alias("n"), F.min("l_discount").alias("w"), F.min_by("l_linenumber", F.struct("l_discount", "l_linenumber")).alias("at"), F.count("rt").alias("back"), F.max("rt").alias("worst"), F.log(F.sum("l_extendedprice")).alias("cost"))
+    s = placed(table(spark, sf, "lineitem")).withColumn("rt", F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey") % 5 + 1)).withColumn("sum", running("l_extendedprice", "l_orderkey"))
+    g = s.groupBy(F.col("l_orderkey").alias("route")).agg(F.count(F.lit(1)).alias("n"), F.min("l_discount").alias("w"), F.min_by("l_linenumber", F.struct("l_discount", "l_linenumber")).alias("at"), F.count("rt").alias("back"), F.max("rt").alias("worst"), F.max_by("sum", "at").alias("cost"))
     c = F.col
-    return g.select("route", rules.route_line(c("n"), c("w"), c("at"), c("back"), c("n"), c("worst"), c("n"), c("cost")).alias("line"))
+    return g.select("route", rules.route_line(c("n"), c("w"), c("at"), c("back"), c("n"), c("worst"), c("n"), None, dollars_string("cost")).alias("line"))
