@@ -9,7 +9,7 @@ from loomroute.catalog import query
 from loomroute.functions import keys, smiles
 from loomroute.operators import actions, claims
 
-from .roles import STEPS, sql, steps, table
+from .roles import STEPS, running, sql, steps, table
 
 _LINES = """lines AS (SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 'open m' || user_id WHEN 'view' THEN 'rank m' || user_id || ' c' || (event_id % 4) || ',c' || (event_id % 4 + 1)
  WHEN 'purchase' THEN 'done a.c' || (event_id % 9) ELSE CASE WHEN value > 50 THEN 'dead m' || user_id || ' cutoff' ELSE event_type END END AS line FROM events)"""
@@ -159,7 +159,8 @@ _TEMPLATE = "Route {route} of {target}: {n} steps, cost {cost}; again {route}."
 )
 def template_round_trip(spark, sf):
     """Rows written through a template and read back from the text."""
-    r = steps(spark, sf).groupBy("route").agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("n"), F.round(F.sum("price")).cast("long").alias("cost"))
+    s = steps(spark, sf, at=True).withColumn("sum", running("price", "route"))
+    r = s.groupBy("route").agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("n"), F.round(F.max_by("sum", "at")).cast("long").alias("cost"))
     text = claims.fill(_TEMPLATE, {c: F.col(c) for c in ("route", "target", "n", "cost")})
     return r.select(claims.read_template(text, _TEMPLATE).alias("x")).select("x.route", "x.target", "x.n", "x.cost")
 
